@@ -31,7 +31,7 @@ from larkspan.llm.textops import Words, mix, slices, winnow
 
 SPAN, GRAM = 13, 6
 _LAST = 2**63 - 1
-_MEET = "key long, hash long, doc_id long, at int"
+_MEET = "key long, doc_id long, at int"
 
 
 def _ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,20 +55,24 @@ def _met(hashes: np.ndarray, docs: np.ndarray, told: np.ndarray) -> tuple[np.nda
     return out, low
 
 
-def _batch(key, hashes, docs, at) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (key.view(np.int64), hashes.view(np.int64), docs, at.astype(np.int32))], names=["key", "hash", "doc_id", "at"])
+def _batch(key, docs, at) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (key.view(np.int64), docs, at.astype(np.int32))], names=["key", "doc_id", "at"])
 
 
 def _combine(hashes, docs, at, known):
-    """Rows for the exchange.  `known` (0: none yet) decides here which rows need no partner from elsewhere; those have hash 0."""
+    """Rows for the exchange: by hash, or (at -2 and below: -2 - place) settled here and dealt out evenly.
+
+    known "shared": settled if two documents of the chunk have the hash; at -1 then tells the others of it.
+    known "later": settled if a smaller document of the chunk has it.
+    """
     many, low = _met(hashes, docs, np.zeros(len(docs), bool))
     done = many & ((docs > low) if known == "later" else True)
-    yield _batch(mix(docs[done].astype(np.uint64) * np.uint64(31) + at[done].astype(np.uint64)), np.zeros(done.sum(), np.uint64), docs[done], at[done])
+    yield _batch(mix(docs[done].astype(np.uint64) * np.uint64(31) + at[done].astype(np.uint64)), docs[done], -2 - at[done])
     rest = ~done
-    yield _batch(hashes[rest], hashes[rest], docs[rest], at[rest])
+    yield _batch(hashes[rest], docs[rest], at[rest])
     if known == "shared" and many.any():
         told, first = np.unique(hashes[many], return_index=True)
-        yield _batch(told, told, docs[many][first], np.full(len(told), -1))
+        yield _batch(told, docs[many][first], np.full(len(told), -1))
 
 
 def _anchors(span: int, gram: int):
@@ -81,42 +85,30 @@ def _anchors(span: int, gram: int):
                 continue
             pick = np.unique((np.arange(len(ok)) + winnow(g, span - gram + 1))[ok])
             row = w.row[pick]
-            hashes = g[pick] | np.uint64(1)  # 0 says that nothing is sought
-            yield from _combine(hashes, np.asarray(b.column("doc_id"))[row], pick - w.first[row], "shared")
+            yield from _combine(g[pick], np.asarray(b.column("doc_id"))[row], pick - w.first[row], "shared")
 
     return run
 
 
-def _gather(batches):
-    rows = [b for b in batches if b.num_rows]
-    t = pa.Table.from_batches(rows) if rows else None
-    if t is None:
-        return None
-    return [t.column(c).to_numpy() for c in ("hash", "doc_id", "at")]
+def _meet(keep_settled_or):
+    """Reduce stage: (doc_id, at) of the settled rows and of those that `keep_settled_or` picks from the others of their hash."""
 
+    def run(batches):
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        hashes, docs, at = (pa.Table.from_batches(rows).column(c).to_numpy() for c in ("key", "doc_id", "at"))
+        keep = at < -1
+        seek = ~keep
+        many, low = _met(hashes[seek], docs[seek], at[seek] == -1)
+        keep[seek] = keep_settled_or(docs[seek], at[seek], many, low)
+        yield pa.RecordBatch.from_arrays([pa.array(docs[keep]), pa.array(np.where(at < -1, -2 - at, at)[keep])], names=["doc_id", "at"])
 
-def _seeds(batches):
-    got = _gather(batches)
-    if got is None:
-        return
-    hashes, docs, at = got
-    seek = hashes != 0
-    many, _ = _met(hashes[seek], docs[seek], at[seek] < 0)
-    keep = ~seek
-    keep[seek] = many & (at[seek] >= 0)
-    yield pa.RecordBatch.from_arrays([pa.array(docs[keep]), pa.array(at[keep])], names=["doc_id", "at"])
+    return run
 
 
-def _later(batches):
-    got = _gather(batches)
-    if got is None:
-        return
-    hashes, docs, at = got
-    seek = hashes != 0
-    _, low = _met(hashes[seek], docs[seek], at[seek] < 0)
-    keep = ~seek
-    keep[seek] = docs[seek] > low
-    yield pa.RecordBatch.from_arrays([pa.array(docs[keep]), pa.array(at[keep])], names=["doc_id", "at"])
+_seeds = _meet(lambda docs, at, many, low: many & (at >= 0))
+_later = _meet(lambda docs, at, many, low: docs > low)
 
 
 def _flags(lists: pa.Array, w: Words) -> np.ndarray:
@@ -141,7 +133,7 @@ def _extend(span: int, gram: int):
             n = np.arange(len(ok))
             start = n[ok & seed[n + winnow(g, span - gram + 1)]]
             row = w.row[start]
-            yield from _combine(w.grams(h, span)[start] | np.uint64(1), np.asarray(b.column("doc_id"))[row], start - w.first[row], "later")
+            yield from _combine(w.grams(h, span)[start], np.asarray(b.column("doc_id"))[row], start - w.first[row], "later")
 
     return run
 
