@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -14,3 +15,11 @@ def saved(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet under spark.checkpoint.dir and read back; for tables that grow with the corpus."""
+    spark = df.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/larkspan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
