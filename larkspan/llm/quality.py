@@ -83,8 +83,13 @@ def verdict(thresholds=THRESHOLDS) -> Column:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that pass the base rules and the threshold table."""
-    return measures(docs).filter(~base_failed() & (F.size(verdict()) == 0)).select(docs.columns)
+    """The rows of `docs` that pass the base rules and the threshold table.
+
+    The verdict goes through a generator: a filter on it isn't pushed below the
+    projections, where it would evaluate every measure within every other.
+    """
+    judged = measures(docs).select(*docs.columns, (~base_failed() & (F.size(verdict()) == 0)).alias(f"{_P}ok"))
+    return judged.select(*docs.columns, F.explode(F.array(f"{_P}ok")).alias(f"{_P}kept")).filter(f"{_P}kept").select(docs.columns)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
