@@ -226,14 +226,15 @@ _EDGE = ".,;:!?\"'`|<>[]{}#*$%&"
 def _labelled_spans(text: str, raw: bytes, w: Words, low: int, labels: np.ndarray) -> list[Span]:
     """Runs of one label in a text whose words begin with word `low`, in code points, without punctuation at the edges."""
     out, i = [], 0
-    base = int(w.rows[w.row[low]]) if len(labels) else 0
+    seen, chars = int(w.rows[w.row[low]]) if len(labels) else 0, 0
     while i < len(labels):
         j = i
         while j + 1 < len(labels) and labels[j + 1] == labels[i]:
             j += 1
         if labels[i]:
             s, e = int(w.starts[low + i]), int(w.ends[low + j])
-            start = len(raw[base:s].decode())
+            chars += len(raw[seen:s].decode())
+            seen, start = s, chars
             found = text[start : start + len(raw[s:e].decode())]
             trimmed = found.lstrip(_EDGE)
             start += len(found) - len(trimmed)
