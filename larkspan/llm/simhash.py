@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 
 from larkspan.llm.components import components
 from larkspan.llm.lineage import saved
+from larkspan.llm.resemblance import resembling_links
 from larkspan.llm.textops import bytes_of, slices
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -101,8 +102,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with one document of each group of near-duplicates: its smallest doc_id, once.  Rows without an id stay."""
-    kept = near_duplicates(docs.filter("doc_id IS NOT NULL")).filter("doc_id = component_id").select("doc_id").distinct()
+    """The rows of `docs` with one document of each group of near-duplicates: its smallest doc_id, once.  Rows without an id stay.
+
+    Groups are the components over fingerprints and, between their first documents,
+    over texts that share 0.8 of their five-word shingles.
+    """
+    own = docs.filter("doc_id IS NOT NULL")
+    firsts = saved(near_duplicates(own).filter("doc_id = component_id").select("doc_id").distinct())
+    later = components(resembling_links(own, firsts)).filter("node <> component").select(F.col("node").alias("doc_id"))
+    kept = firsts.join(later, "doc_id", "left_anti")
     one = docs.join(kept, "doc_id").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter("_nth = 1").drop("_nth")
     return one.select(docs.columns).union(docs.filter("doc_id IS NULL"))
 

@@ -49,6 +49,36 @@ def test_simhash_equals_brute_force(spark, size):
     assert sorted(map(tuple, simhash.op3_simhash_ball(spark, f"/root/testdata/{size}").collect()), key=repr) == linked(prints(rows))
 
 
+def five_word_shingles(text):
+    w = WORD.findall(lower(text))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_near_copies_leave_and_others_stay(spark):
+    """Whole sets against brute force: no two kept texts share 0.8 of their shingles, and whatever went is near one that came before."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: five_word_shingles(r.text) for r in docs.collect()}
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    firsts = {r.component_id for r in simhash.near_duplicates(docs).collect()}
+    holders = {}
+    for d in firsts:
+        for s in sets[d]:
+            holders.setdefault(s, []).append(d)
+    near = {(x, y) for ds in holders.values() for x in ds for y in ds if x < y and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])}
+    assert near and not any(x in kept and y in kept for x, y in near)
+    assert firsts - kept == {max(p) for p in near if max(p) not in kept} and kept <= firsts
+
+
+def test_resembling_group_of_copies(spark):
+    """A large group of near copies keeps its smallest doc_id; a text that shares half of it, and short texts, stay."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[:100] + [f"x{i}"] + words[101:])) for i in range(10, 210)]
+    rows += [(300, " ".join(words[:100] + [f"z{i}" for i in range(100)])), (301, "a few words"), (302, None), (10, rows[0][1])]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, a int, key string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [10, 300, 301, 302]
+    assert simhash.keep_one(df.limit(0)).collect() == [] and simhash.keep_one(df).columns == df.columns
+
+
 def test_simhash_odd_rows(spark):
     rows = [(5, None), (2, ""), (3, " \t"), (4, "One Two"), (9, "one two"), (None, "one two"), (7, "a b c d " * 3000), (7, "a b c d " * 3000), (None, "quite alone here")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component long")
