@@ -6,7 +6,7 @@ them.  A word's probability is the sum over all its segmentations, by forward
 recursion in log space; a text's is the product over its words and one end.
 
 Words are scored once for each distinct word, not for each occurrence.  The most
-frequent words (documented bound: FREQUENT) go to the map tasks, which sum them;
+frequent words (documented bound: FREQUENT, cut between two counts) go to the map tasks, which sum them;
 the occurrences of all others meet their word in a join, so no word has a large
 share of the rows that are shuffled.
 
@@ -241,15 +241,22 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: int = FREQUEN
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, True))).first()
     scores = trained_scores(words, prior_scores(vocabulary))
     shared = context.broadcast(scores)
-    top = words.orderBy(F.desc("c"), "word").limit(frequent).toPandas()
+    size = F.floor(16 * F.log2(F.col("c") + 1))  # at most 1,024 sizes
+    cut, many = 0, 0
+    for r in sorted(words.groupBy(size.alias("size")).count().collect(), reverse=True):
+        cut, many = r["size"], many + r["count"]
+        if many > frequent:
+            cut += 1
+            break
+    often = (size >= cut) | (F.col("word") == _END)
+    top = words.filter(often).toPandas()  # `frequent` rows and one at most
     lattice = Lattice(scores)
     index = {w.encode(): i for i, w in enumerate([*top["word"], *([] if (top["word"] == _END).any() else [_END])])}
     c = np.zeros(len(index), np.int64)
     c[: len(top)] = top["c"]
     model = np.array([lattice.log_probability(w.decode()) / math.log(10) for w in index])
     sums = docs.mapInArrow(_sum(context.broadcast((index, (c > 0).astype(np.int64), np.log10((c + 1) / (n + v + 1)), model))), "row long, doc_id long, held_out boolean, word string, n long, known long, base double, model double")
-    least = int(c[len(top) - 1]) if len(top) == frequent else -1  # words above it are all among the frequent ones
-    scored = words.filter(F.col("c") <= least if least >= 0 else F.lit(False)).mapInArrow(_probabilities(shared), "word string, c long, model double").select("word", "c", F.col("model").alias("rare_model"))
+    scored = words.filter(~often).mapInArrow(_probabilities(shared), "word string, c long, model double").select("word", "c", F.col("model").alias("rare_model"))
     met = sums.join(scored, "word", "left")
     own = F.col("n").isNotNull()
     base = F.when(own, F.col("base")).otherwise(F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))))
