@@ -28,6 +28,13 @@ def test_quality_measures(spark):
     assert quality.keep_good(docs.limit(0)).collect() == []
 
 
+def test_quality_query_takes_filters(spark):
+    got = quality.op4_quality_rules(spark, "/root/testdata/sf0.001")
+    rows = got.collect()
+    assert {r.doc_id for r in got.filter("kept").collect()} == {r.doc_id for r in rows if r.kept}
+    assert {r.doc_id for r in got.filter("n_repeat_words > 5 AND NOT base_failed").collect()} == {r.doc_id for r in rows if r.n_repeat_words > 5 and not r.base_failed}
+
+
 def test_license_scan(spark):
     mit = licenses.TEMPLATES[3][1]
     bent = mit.replace("free of charge", "free of any charge").replace("associated ", "")
