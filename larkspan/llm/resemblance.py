@@ -3,9 +3,17 @@ r"""Near copies beyond the reach of a 64-bit fingerprint: five-word shingles, re
 Texts that share 0.8 of their five-word shingles differ in 2 to 14 bits of a
 SimHash, where a ball has millions of variants.  So the stage that keeps one
 document of each group also takes BANDS keys of ROWS minimum shingle hashes per
-text (two texts at 0.8 share none with probability 0.002), links the documents of
-a key to its smallest and its largest doc_id, and verifies each link on the whole
-shingle sets.  A key of any size costs two links per document.
+text (two texts at 0.8 share none with probability 0.002) and verifies on whole
+shingle sets:
+
+1. Each document of a key against the key's smallest and largest doc_id.
+2. Where a key then still holds two groups or more, its documents against those of
+   other groups, by the prefix filter: of two sets at 0.8 with shingles in one
+   order, rare ones first, the first ninth of the smaller and the first fifth of
+   the larger share a shingle that leaves enough behind it.  This misses none.
+
+So every two texts at 0.8 that share a key end in one group.  A group of near
+copies costs two links per document, as in 1, and no pairs of its own in 2.
 
 Defined cases: texts of fewer than five words have no shingles and no links;
 rows that share a doc_id link that id once for each; other columns are not read.
@@ -17,7 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from larkspan.llm.components import components
 from larkspan.llm.lineage import saved
 from larkspan.llm.textops import Words, mix, slices
 
@@ -53,19 +63,53 @@ def _sets(batches):
             each = [np.unique(x) for x in np.split(hashes, first[1:])]
             ends = np.cumsum([0, *map(len, each)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(each).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), lists], names=["doc_id", "shingles"])
+            print_ = pa.array(np.array([np.bitwise_xor.reduce(mix(x)) for x in each]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), print_, lists], names=["doc_id", "print", "shingles"])
 
 
-def resembling_links(docs: DataFrame, among: DataFrame) -> DataFrame:
-    """Links (a, b), b the smaller, between documents of `docs` (doc_id, text) whose ids are in `among` (doc_id, each once)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keys = saved(texts.mapInArrow(_bands, "key long, doc_id long").join(among, "doc_id").select("key", "doc_id"))
-    hubs = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
-    met = keys.join(hubs, "key").select("doc_id", F.explode(F.array("low", "high")).alias("hub")).filter("doc_id <> hub")
-    pairs = saved(met.select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct())
+_SETS = "doc_id long, print long, shingles array<long>"
+
+
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) whose texts are similar."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = texts.join(ends, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
+    sets = texts.join(ends, "doc_id", "left_semi").mapInArrow(_sets, _SETS)
     x, y = sets.alias("x"), sets.alias("y")
     both = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id"))
     shared = F.size(F.array_intersect("x.shingles", "y.shingles"))
     return both.filter(shared >= SIMILAR * (F.size("x.shingles") + F.size("y.shingles") - shared)).select("a", "b").distinct()
+
+
+def _candidates(texts: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Pairs (a, b), b the smaller, of documents of `grouped` (doc_id, component) in two components; all that are similar are among them."""
+    sets = texts.join(grouped, "doc_id").select("doc_id", "text").mapInArrow(_sets, _SETS)
+    each = sets.join(grouped, "doc_id").select("doc_id", "print", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    # a shingle of one component meets no other: such ones come first in the order
+    wide = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle", "n")
+    text = Window.partitionBy("doc_id", "print", "size")
+    last = F.count(F.lit(1)).over(text) - F.row_number().over(text.orderBy("n", "shingle"))
+    need = lambda share, size: F.ceil(share * size - 1e-6)
+    held = each.join(wide, "shingle").withColumn("left", last + 1)  # shingles from this one on
+    held = saved(held.filter(F.col("left") >= need(SIMILAR, F.col("size"))).select("shingle", "doc_id", "component", "size", "left"))
+    x, y = held.alias("x"), held.filter(F.col("left") >= need(2 * SIMILAR / (1 + SIMILAR), F.col("size"))).alias("y")
+    xs, ys = F.col("x.size"), F.col("y.size")
+    larger = (ys < xs) | (ys == xs) & (F.col("y.doc_id") < F.col("x.doc_id"))
+    enough = F.least("x.left", "y.left") >= need(SIMILAR / (1 + SIMILAR), xs + ys)
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & larger & enough)
+    return met.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
+def resembling_links(docs: DataFrame, among: DataFrame) -> DataFrame:
+    """Links (a, b), b the smaller, between documents of `docs` (doc_id, text) whose ids are in `among` (doc_id, each once)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keys = saved(texts.mapInArrow(_bands, "key long, doc_id long").join(among, "doc_id").select("key", "doc_id"))
+    hubs = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
+    met = keys.join(hubs, "key").select("key", "doc_id", "low", "high")
+    hub = met.select("doc_id", F.explode(F.array("low", "high")).alias("hub")).filter("doc_id <> hub")
+    pairs = saved(hub.select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct())
+    links = saved(_verified(texts, pairs))
+    groups = components(links).withColumnRenamed("node", "doc_id")
+    grouped = met.select("key", "doc_id").join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    split = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    unsettled = saved(grouped.join(split, "key", "left_semi").select("doc_id", "component").distinct())
+    return links.union(_verified(texts, saved(_candidates(texts, unsettled))))
