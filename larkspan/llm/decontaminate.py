@@ -11,16 +11,16 @@ bound: 8 bytes each), one pass over the documents per block, so only candidate
 fingerprints leave the map.
 
 Defined cases: null and empty texts have no words, hits or items; items without
-words are no window; rows that share a doc_id count as one document's text; a
-null doc_id or item_id is one more id (items: as the empty string); other
-columns are not read.
+words are no window; rows that share a doc_id count as one document's text; rows
+with a null doc_id are a document for each text; a null item_id is one more id
+(as the empty string); other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm.lineage import saved
@@ -52,8 +52,8 @@ def _around(w: Words, at: int, n: int, reach: int) -> tuple[list[str], list[str]
     return [word(i) for i in range(at - 1, max(w.first[row], at - reach) - 1, -1)], [word(i) for i in range(at, min(w.first[row + 1], at + n + reach))]
 
 
-_ROW = "hash long, gram int, id long, at int, n_words long, before array<string>, after array<string>"
-_TYPES = pa.schema([("hash", pa.int64()), ("gram", pa.int32()), ("id", pa.int64()), ("at", pa.int32()), ("n_words", pa.int64()), ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))])
+_ROW = "hash long, gram int, id long, part binary, at int, n_words long, before array<string>, after array<string>"
+_TYPES = pa.schema([("hash", pa.int64()), ("gram", pa.int32()), ("id", pa.int64()), ("part", pa.binary()), ("at", pa.int32()), ("n_words", pa.int64()), ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -72,22 +72,22 @@ def _item_rows(span: int, gram: int):
                 at = w.first[:-1][w.counts == n]
                 found.append((n, 0, at, _whole(w, h, n, at) if len(at) else np.empty(0, np.uint64)))
             for n, reach, at, hashes in found:
-                rows += [(x, n if reach else -n, ids[w.row[i]], i - int(w.first[w.row[i]]), None, *_around(w, i, n, reach)) for i, x in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True)]
+                rows += [(x, n if reach else -n, ids[w.row[i]], None, i - int(w.first[w.row[i]]), None, *_around(w, i, n, reach)) for i, x in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True)]
             yield _batch(rows)
 
     return run
 
 
 def _doc_rows(span: int, gram: int, sizes: list[int], known, counts: bool):
-    """Map stage over documents (id, text): a row per fingerprint that is in `known`; with `counts` one per text with its number of words."""
+    """Map stage over documents (id, part, text): a row per fingerprint that is in `known`; with `counts` one per text with its number of words."""
 
     def run(batches):
         wanted = known.value
         for b in slices(batches, "text"):
-            w, ids = Words(b.column("text"), ALNUM, lower=True), b.column("id").to_pylist()
+            w, ids, parts = Words(b.column("text"), ALNUM, lower=True), b.column("id").to_pylist(), b.column("part").to_pylist()
             h, rows = w.hashes(), []
             if counts:
-                rows += [(None, None, i, None, n, None, None) for i, n in zip(ids, w.counts.tolist(), strict=True)]
+                rows += [(None, None, i, p, None, n, None, None) for i, p, n in zip(ids, parts, w.counts.tolist(), strict=True)]
             found = [(gram, span - gram, *_anchors(w, h, span, gram))]
             for n in sizes:
                 at = np.flatnonzero(w.within(n))
@@ -95,7 +95,7 @@ def _doc_rows(span: int, gram: int, sizes: list[int], known, counts: bool):
             for n, reach, at, hashes in found:
                 signed = hashes.view(np.int64)
                 hit = wanted[np.minimum(np.searchsorted(wanted, signed), len(wanted) - 1)] == signed
-                rows += [(x, n if reach else -n, ids[w.row[i]], i - int(w.first[w.row[i]]), None, *_around(w, i, n, reach)) for i, x in zip(at[hit].tolist(), signed[hit].tolist(), strict=True)]
+                rows += [(x, n if reach else -n, ids[w.row[i]], parts[w.row[i]], i - int(w.first[w.row[i]]), None, *_around(w, i, n, reach)) for i, x in zip(at[hit].tolist(), signed[hit].tolist(), strict=True)]
             yield _batch(rows)
 
     return run
@@ -110,29 +110,34 @@ def _spans(span: int):
             for r in b.to_pylist():
                 if r["gram"] < 0:
                     if r["after"] == r["item_after"]:
-                        out.append((r["id"], r["item_id"], r["at"], r["at"] - r["gram"]))
+                        out.append((r["id"], r["part"], r["item_id"], r["at"], r["at"] - r["gram"]))
                     continue
                 same = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
                 left, right = same(r["before"], r["item_before"]), same(r["after"], r["item_after"])
                 if right >= r["gram"] and left + right >= span:
-                    out.append((r["id"], r["item_id"], r["at"] - left, r["at"] + right))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["id", "item_id", "low", "high"])
+                    out.append((r["id"], r["part"], r["item_id"], r["at"] - left, r["at"] + right))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i == 1 else pa.int64()) for i in range(5)], names=["id", "part", "item_id", "low", "high"])
 
     return run
 
 
-def _keyed(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _keyed(df: DataFrame, key: str, *more: Column) -> DataFrame:
+    return df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
-def contamination(docs: DataFrame, bench: DataFrame, span: int = SPAN, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (array), contaminated, for every row of `docs` (doc_id, text); `bench` has item_id, text."""
+def _part(key: str) -> Column:
+    """Tells documents of one id apart: the SHA-256 of the text where the id is null, else empty."""
+    return F.when(F.col(key).cast("long").isNull(), F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))).otherwise(F.lit(b""))
+
+
+def _judged(docs: DataFrame, bench: DataFrame, span: int, gram: int, block: int) -> DataFrame:
+    """id, part, n_words, n_hit, item_ids (array), contaminated, for every row of `docs`."""
     spark = docs.sparkSession
     items = saved(_keyed(bench, "item_id").distinct().mapInArrow(_item_rows(span, gram), _ROW))
     sizes = sorted(-r.gram for r in items.filter("gram < 0").select("gram").distinct().collect())
     hashes = items.select("hash").distinct()
     blocks = max(1, -(-hashes.count() // block))
-    found, texts = None, _keyed(docs, "doc_id")
+    found, texts = None, _keyed(docs, "doc_id", _part("doc_id").alias("part"))
     for i in range(blocks):
         own = np.sort(hashes.filter(F.pmod("hash", F.lit(blocks)) == i).toPandas()["hash"].to_numpy(np.int64))
         known = spark.sparkContext.broadcast(own if len(own) else np.array([0], np.int64))
@@ -140,19 +145,25 @@ def contamination(docs: DataFrame, bench: DataFrame, span: int = SPAN, gram: int
         found = rows if found is None else found.union(rows)
     found = saved(found)
     sought = items.select("hash", "gram", F.col("id").alias("item_id"), F.col("before").alias("item_before"), F.col("after").alias("item_after")).distinct()
-    met = found.filter("hash IS NOT NULL").join(sought, ["hash", "gram"]).mapInArrow(_spans(span), "id long, item_id long, low long, high long")
+    met = found.filter("hash IS NOT NULL").join(sought, ["hash", "gram"]).mapInArrow(_spans(span), "id long, part binary, item_id long, low long, high long")
     merge = "aggregate(array_sort(collect_set(struct(low, high))), struct(0L AS n, 0L AS upto), (a, x) -> struct(a.n + greatest(0L, x.high - greatest(x.low, a.upto)) AS n, greatest(a.upto, x.high) AS upto), a -> a.n)"
-    per_doc = met.groupBy("id").agg(F.expr(merge).alias("n_hit"), F.collect_set("item_id").alias("item_ids"))
-    out = found.filter("n_words IS NOT NULL").select("id", "n_words").join(per_doc, "id", "left")
+    per_doc = met.groupBy("id", "part").agg(F.expr(merge).alias("n_hit"), F.collect_set("item_id").alias("item_ids"))
+    out = found.filter("n_words IS NOT NULL").select("id", "part", "n_words").join(per_doc, ["id", "part"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     item_ids = F.coalesce("item_ids", F.array().cast("array<bigint>"))
-    return out.select(F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "n_words", n_hit.alias("n_hit"), item_ids.alias("item_ids"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select("id", "part", "n_words", n_hit.alias("n_hit"), item_ids.alias("item_ids"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def contamination(docs: DataFrame, bench: DataFrame, span: int = SPAN, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_words, n_hit, item_ids (array), contaminated, for every row of `docs` (doc_id, text); `bench` has item_id, text."""
+    out = _judged(docs, bench, span, gram, block)
+    return out.select(F.when(F.length("part") == 0, F.col("id")).alias("doc_id"), "n_words", "n_hit", "item_ids", "contaminated")
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of `docs` whose text isn't contaminated."""
-    dirty = contamination(docs, bench).filter("contaminated").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_bad")).distinct()
-    return docs.join(dirty, F.coalesce(docs["doc_id"], F.lit(_NO_ID)) == F.col("_bad"), "left_anti")
+    dirty = _judged(docs, bench, SPAN, GRAM, BLOCK).filter("contaminated").select(F.col("id").alias("_bad"), F.col("part").alias("_part")).distinct()
+    return docs.join(dirty, (F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)) == F.col("_bad")) & (_part("doc_id") == F.col("_part")), "left_anti")
 
 
 def op6_winnow_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,17 @@ def test_decontamination_equals_brute_force(spark):
     assert sorted((r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()), key=repr) == sorted((x[0] for x in hits(docs, items) if not x[4]), key=repr)
 
 
+def test_rows_without_id_are_judged_apart(spark):
+    """A clean text without an id stays beside a contaminated one; hits, items and verdicts are each text's own."""
+    line, other = (" ".join(f"{c}{i}" for i in range(20)) for c in "wv")
+    rows = [(None, line), (None, "x " + line), (None, line), (None, "quite clean here"), (None, other), (None, None), (None, ""), (2**63 - 1, "as clean"), (3, "clean")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(1, line), (2, other)], "item_id long, text string")
+    got = [(r.n_words, r.n_hit, sorted(r.item_ids), r.contaminated) for r in decontaminate.contamination(d, b).collect()]
+    assert sorted(got) == sorted([(20, 20, [1], True), (21, 20, [1], True), (20, 20, [1], True), (3, 0, [], False), (20, 20, [2], True), (0, 0, [], False), (0, 0, [], False), (2, 0, [], False), (1, 0, [], False)])
+    assert sorted((r.text for r in decontaminate.drop_contaminated(d, b).collect()), key=repr) == sorted(["quite clean here", None, "", "as clean", "clean"], key=repr)
+
+
 def test_decontamination_of_empty_tables(spark):
     d, b = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(d, b).collect() == []
