@@ -14,8 +14,10 @@ more than one row per map chunk on its key.
 
 Defined cases: null and empty texts have no words; texts shorter than `span`
 words keep all; a null doc_id counts as the largest; repeated rows (same doc_id,
-same text) each keep what one of them would keep; other columns are not read.
-Windows are compared by 64-bit hashes.
+same text) each keep what one of them would keep; different texts of one doc_id,
+or of none, have places of their own and repeat nothing from each other; other
+columns are not read.  Windows are compared by 64-bit hashes, and places are kept
+by a 64-bit hash of doc_id and text.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from larkspan.llm.textops import Words, mix, slices, winnow
 
 SPAN, GRAM = 13, 6
 _LAST = 2**63 - 1
-_MEET = "key long, doc_id long, at int"
+_MEET = "key long, doc_id long, row long, at int"
 
 
 def _ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,11 +57,11 @@ def _met(hashes: np.ndarray, docs: np.ndarray, told: np.ndarray) -> tuple[np.nda
     return out, low
 
 
-def _batch(key, docs, at) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (key.view(np.int64), docs, at.astype(np.int32))], names=["key", "doc_id", "at"])
+def _batch(key, docs, row, at) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (key.view(np.int64), docs, row, at.astype(np.int32))], names=["key", "doc_id", "row", "at"])
 
 
-def _combine(hashes, docs, at, known):
+def _combine(hashes, docs, row, at, known):
     """Rows for the exchange: by hash, or (at -2 and below: -2 - place) settled here and dealt out evenly.
 
     known "shared": settled if two documents of the chunk have the hash; at -1 then tells the others of it.
@@ -67,12 +69,13 @@ def _combine(hashes, docs, at, known):
     """
     many, low = _met(hashes, docs, np.zeros(len(docs), bool))
     done = many & ((docs > low) if known == "later" else True)
-    yield _batch(mix(docs[done].astype(np.uint64) * np.uint64(31) + at[done].astype(np.uint64)), docs[done], -2 - at[done])
+    yield _batch(mix(row[done].astype(np.uint64) * np.uint64(31) + at[done].astype(np.uint64)), np.zeros(done.sum(), np.int64), row[done], -2 - at[done])
     rest = ~done
-    yield _batch(hashes[rest], docs[rest], at[rest])
+    # among anchors a document is a row: one column less to exchange
+    yield _batch(hashes[rest], docs[rest] if known == "later" else np.zeros(rest.sum(), np.int64), row[rest], at[rest])
     if known == "shared" and many.any():
         told, first = np.unique(hashes[many], return_index=True)
-        yield _batch(told, docs[many][first], np.full(len(told), -1))
+        yield _batch(told, np.zeros(len(told), np.int64), row[many][first], np.full(len(told), -1))
 
 
 def _anchors(span: int, gram: int):
@@ -85,30 +88,31 @@ def _anchors(span: int, gram: int):
                 continue
             pick = np.unique((np.arange(len(ok)) + winnow(g, span - gram + 1))[ok])
             row = w.row[pick]
-            yield from _combine(g[pick], np.asarray(b.column("doc_id"))[row], pick - w.first[row], "shared")
+            own = np.asarray(b.column("row"))[row]
+            yield from _combine(g[pick], own, own, pick - w.first[row], "shared")
 
     return run
 
 
-def _meet(keep_settled_or):
-    """Reduce stage: (doc_id, at) of the settled rows and of those that `keep_settled_or` picks from the others of their hash."""
+def _meet(by, keep_settled_or):
+    """Reduce stage: (row, at) of the settled rows and of those that `keep_settled_or` picks from the others of their hash."""
 
     def run(batches):
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
-        hashes, docs, at = (pa.Table.from_batches(rows).column(c).to_numpy() for c in ("key", "doc_id", "at"))
+        hashes, docs, row, at = (pa.Table.from_batches(rows).column(c).to_numpy() for c in ("key", by, "row", "at"))
         keep = at < -1
         seek = ~keep
         many, low = _met(hashes[seek], docs[seek], at[seek] == -1)
         keep[seek] = keep_settled_or(docs[seek], at[seek], many, low)
-        yield pa.RecordBatch.from_arrays([pa.array(docs[keep]), pa.array(np.where(at < -1, -2 - at, at)[keep])], names=["doc_id", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(row[keep]), pa.array(np.where(at < -1, -2 - at, at)[keep])], names=["row", "at"])
 
     return run
 
 
-_seeds = _meet(lambda docs, at, many, low: many & (at >= 0))
-_later = _meet(lambda docs, at, many, low: docs > low)
+_seeds = _meet("row", lambda docs, at, many, low: many & (at >= 0))
+_later = _meet("doc_id", lambda docs, at, many, low: docs > low)
 
 
 def _flags(lists: pa.Array, w: Words) -> np.ndarray:
@@ -116,7 +120,8 @@ def _flags(lists: pa.Array, w: Words) -> np.ndarray:
     out = np.zeros(len(w) + 1, dtype=bool)
     sizes = np.asarray(lists.value_lengths().fill_null(0))
     at = lists.flatten().to_numpy(zero_copy_only=False)
-    out[np.repeat(w.first[:-1], sizes) + at] = True
+    inside = at < np.repeat(w.counts, sizes)
+    out[(np.repeat(w.first[:-1], sizes) + at)[inside]] = True
     return out[: len(w)]
 
 
@@ -133,7 +138,7 @@ def _extend(span: int, gram: int):
             n = np.arange(len(ok))
             start = n[ok & seed[n + winnow(g, span - gram + 1)]]
             row = w.row[start]
-            yield from _combine(w.grams(h, span)[start], np.asarray(b.column("doc_id"))[row], start - w.first[row], "later")
+            yield from _combine(w.grams(h, span)[start], np.asarray(b.column("doc_id"))[row], np.asarray(b.column("row"))[row], start - w.first[row], "later")
 
     return run
 
@@ -169,12 +174,13 @@ def _cut(span: int):
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and kept_sha256 of every row of `docs` (doc_id, text)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    by_doc = lambda rows: rows.groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
-    seeds = by_doc(docs.mapInArrow(_anchors(span, gram), _MEET).repartition(parts, "key").mapInArrow(_seeds, "doc_id long, at int"))
-    repeats = by_doc(docs.join(seeds, "doc_id").mapInArrow(_extend(span, gram), _MEET).repartition(parts, "key").mapInArrow(_later, "doc_id long, at int"))
-    out = docs.join(repeats, "doc_id", "left").mapInArrow(_cut(span), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST)))
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    docs = docs.select(F.coalesce(doc_id, F.lit(_LAST)).alias("doc_id"), doc_id.isNull().alias("none"), F.xxhash64(doc_id.isNull(), doc_id, text).alias("row"), text.alias("text"))
+    by_row = lambda rows: rows.groupBy("row").agg(F.collect_set("at").alias("ats"))
+    seeds = by_row(docs.mapInArrow(_anchors(span, gram), _MEET).repartition(parts, "key").mapInArrow(_seeds, "row long, at int"))
+    repeats = by_row(docs.join(seeds, "row").mapInArrow(_extend(span, gram), _MEET).repartition(parts, "key").mapInArrow(_later, "row long, at int"))
+    out = docs.join(repeats, "row", "left").withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id")))
+    return out.mapInArrow(_cut(span), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

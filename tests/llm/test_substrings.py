@@ -45,5 +45,16 @@ def test_null_id_counts_as_largest(spark):
     assert got == {None: 13, 4: 0}
 
 
+def test_places_belong_to_texts(spark):
+    """Different texts without an id, or of one id, lose their own repeats alone, whatever their lengths."""
+    line, more = (" ".join(f"{c}{i}" for i in range(20)) for c in "wv")
+    rows = [(None, " ".join(f"a{i}" for i in range(300)) + " " + line), (None, "quite short"), (None, " ".join(f"b{i}" for i in range(50))), (None, line), (7, "x " * 9 + more), (7, " ".join(f"c{i}" for i in range(40))), (1, line), (2, more), (9, " ".join(f"d{i}" for i in range(400)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r)[:3] + (r.kept_sha256,) for r in remove_repeats(df.coalesce(1)).collect()), key=repr)
+    last = 2**63 - 1
+    want = [(None if d == last else d, *x) for d, *x in brute([(last if d is None else d, t) for d, t in rows])]
+    assert got == sorted(want, key=repr) and sum(x[2] for x in got) == 60
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
