@@ -3,12 +3,13 @@ r"""Secret scan by character Markov models (operator 5).
 Base patterns find assignments, access keys and long hexadecimal runs.  The
 method scores every other run of token characters of MIN_RUN or more: a Markov
 model of random strings against one of ordinary identifiers and words, both
-trained from labelled samples, compared by log-likelihood ratio per character.
-Runs are found over bytes with numpy; only texts that hold a candidate are
+trained from labelled samples, compared by log-likelihood ratio per character.  A run that
+falls short as a whole is searched for the stretches of MIN_RUN characters or more
+that don't: keys inside paths and compound names.  Runs are found over bytes with numpy; only texts that hold a candidate are
 searched with patterns.
 
-Defined cases: null and empty texts have no spans; a run that touches a base span
-is left to the base; runs of any length are scored whole; repeated rows are
+Defined cases: null and empty texts have no spans; of a run that touches base spans
+the parts beside them are scored; runs may have any length; repeated rows are
 scanned alike; a null doc_id is returned as null; other columns are not read.
 """
 
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspan.llm.spans import Span, apart, digest, joined
+from larkspan.llm.spans import Span, digest, joined
 from larkspan.llm.textops import bytes_of, slices
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -99,12 +100,61 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def beside(start: int, end: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What `base` (sorted, none inside another) leaves of start..end, in parts of MIN_RUN or more."""
+    out = []
+    for s, e in base:
+        if s < end and e > start:
+            out.append((start, s))
+            start = max(start, e)
+    return [(s, e) for s, e in [*out, (start, end)] if e - s >= MIN_RUN]
+
+
+def stretches(model: np.ndarray, text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Where secrets are in a run of token characters: all of it, or else its best stretches with `threshold` per character, none over another."""
+    if ratio(model, text) >= threshold:
+        return [(0, len(text))]
+    codes = np.array([_CODE[c] for c in text])
+    total = np.concatenate([[0.0], np.cumsum(model[np.concatenate([[0], codes[:-1] + 1]), codes] - threshold)])
+    out, todo = [], [(0, len(text))]
+    while todo:
+        low, high = todo.pop()
+        if high - low < MIN_RUN:
+            continue
+        t = total[low : high + 1]
+        gain = t[MIN_RUN:] - np.minimum.accumulate(t[:-MIN_RUN])
+        end = int(gain.argmax())
+        if gain[end] >= 0:
+            start = int(t[: end + 1].argmin())
+            out.append((low + start, low + end + MIN_RUN))
+            todo += [(low, low + start), (low + end + MIN_RUN, high)]
+    return sorted(out)
+
+
 def all_spans(text: str, base: list[Span], model: np.ndarray, threshold: float = THRESHOLD) -> list[Span]:
-    runs = [("markov", *m.span()) for m in RUN.finditer(text)]
-    more = [r for r in apart(runs, base) if ratio(model, text[r[1] : r[2]]) >= threshold]
+    taken, more, at = merged(base), [], 0
+    for m in RUN.finditer(text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        near = at
+        while near < len(taken) and taken[near][0] < m.end():
+            near += 1
+        for s, e in beside(*m.span(), taken[at:near]):
+            more += [("markov", s + x, s + y) for x, y in stretches(model, text[s:e], threshold)]
     return sorted([*base, *more], key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def merged(spans: list[Span]) -> list[tuple[int, int]]:
+    """The characters of `spans` as (start, end), sorted and apart."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(x[1:] for x in spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def _runs_from(flags: np.ndarray, rows: np.ndarray, least: int) -> np.ndarray:
     """For each row, whether it has `least` flagged bytes in a row."""
     total = np.concatenate([[0], np.cumsum(flags)])
