@@ -7,7 +7,10 @@ sequences of a batch in step.  A sequence is a stretch of words in which marked
 words (with a digit or an at sign) are at most GAP plain words apart, with GAP
 plain words on either side; no text is cut off.
 
-A labelled span is kept if its digits fit its kind (cards: Luhn).
+A labelled span is kept if its digits fit its kind (cards: Luhn).  The labels have
+no begin mark, so neighbouring items of one kind are one run: it is cut at
+separators where every part fits, and a run that doesn't fit as one is cut into
+the parts that cover most of it, as even as can be.
 
 Defined cases: null and empty texts have no spans; a labelled span that touches a
 base span is left to the base; repeated rows are scanned alike; a null doc_id is
@@ -223,24 +226,64 @@ def label(w: Words, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 _EDGE = ".,;:!?\"'`|<>[]{}#*$%&"
 
 
+def _fits(kind: str, digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 7 <= len(digits) <= 15
+
+
+def _parts(kind: str, words: list[str]) -> list[tuple[int, int]]:
+    """A run of words labelled card or phone as items (first word, word after the last)."""
+    digits = [_digits(x) for x in words]
+    ends = [0, *(i + 1 for i, x in enumerate(words[:-1]) if x[-1] in ",;|"), len(words)]
+    cut = list(zip(ends, ends[1:], strict=False))
+    if all(_fits(kind, "".join(digits[i:j])) for i, j in cut):
+        return cut
+    if _fits(kind, "".join(digits)):
+        return [(0, len(words))]
+    best: list[tuple] = [(0, 0, None)]  # up to each word: digits left out, sum of squares, first word of the item that ends here
+    for j in range(1, len(words) + 1):
+        ways = [(best[j - 1][0] + len(digits[j - 1]), best[j - 1][1], None)]
+        own = ""
+        for i in range(j - 1, -1, -1):
+            own = digits[i] + own
+            if len(own) > 19:
+                break
+            if digits[i] and _fits(kind, own):
+                ways.append((best[i][0], best[i][1] + len(own) ** 2, i))
+        best.append(min(ways, key=lambda x: x[:2]))
+    out, j = [], len(words)
+    while j:
+        if best[j][2] is None:
+            j -= 1
+        else:
+            out.append((best[j][2], j))
+            j = best[j][2]
+    return out[::-1]
+
+
 def _labelled_spans(text: str, raw: bytes, w: Words, low: int, labels: np.ndarray) -> list[Span]:
-    """Runs of one label in a text whose words begin with word `low`, in code points, without punctuation at the edges."""
+    """Items among the runs of one label in a text whose words begin with word `low`, in code points, without punctuation at the edges."""
     out, i = [], 0
     seen, chars = int(w.rows[w.row[low]]) if len(labels) else 0, 0
     while i < len(labels):
         j = i
         while j + 1 < len(labels) and labels[j + 1] == labels[i]:
             j += 1
-        if labels[i]:
-            s, e = int(w.starts[low + i]), int(w.ends[low + j])
+        kind = LABELS[labels[i]]
+        parts: list[tuple[int, int]] = []
+        if kind in ("card", "phone"):
+            parts = _parts(kind, [raw[w.starts[low + x] : w.ends[low + x]].decode() for x in range(i, j + 1)])
+        elif labels[i]:
+            parts = [(x, x + 1) for x in range(j + 1 - i)]  # an address is one word
+        for first, after in parts:
+            s, e = int(w.starts[low + i + first]), int(w.ends[low + i + after - 1])
             chars += len(raw[seen:s].decode())
             seen, start = s, chars
             found = text[start : start + len(raw[s:e].decode())]
             trimmed = found.lstrip(_EDGE)
             start += len(found) - len(trimmed)
             trimmed = trimmed.rstrip(_EDGE)
-            kind, n = LABELS[labels[i]], len(_digits(trimmed))
-            if trimmed and (kind == "email" and "@" in trimmed[1:-1] or kind == "ip" and re.fullmatch(_IP, trimmed) and n <= 12 or kind == "card" and 13 <= n <= 19 and luhn(_digits(trimmed)) or kind == "phone" and 7 <= n <= 15):
+            n = len(_digits(trimmed))
+            if trimmed and (kind == "email" and "@" in trimmed[1:-1] or kind == "ip" and re.fullmatch(_IP, trimmed) and n <= 12 or kind in ("card", "phone") and _fits(kind, _digits(trimmed))):
                 out.append((kind, start, start + len(trimmed)))
         i = j + 1
     return out

@@ -165,6 +165,15 @@ def test_personal_spans(spark):
     assert pii.find_personal(frame(spark, ODD).limit(0)).collect() == []
 
 
+def test_personal_items_side_by_side(spark):
+    """Neighbours of one kind are items of their own."""
+    lists = [["(243) 555-5526", "(243) 555-5527"], ["(243) 555-5526,", "(243) 555-5527,", "(243) 555-5528"], ["243-555-5526", "243-555-5527", "243-555-5528"], ["4111 1111 1111 1111", "4242 4242 4242 4242"], ["5555 5555 5555 4444,", "4111 1111 1111 1111"]]
+    rows = [(i, "é call us at " + " ".join(x) + " or write") for i, x in enumerate(lists)]
+    got = {r.doc_id: r.spans for r in pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, text), items in zip(rows, lists, strict=True):
+        assert [text[int(s) : int(e)] for _, s, e in (x.split(":") for x in got[i].split(","))] == [x.rstrip(",") for x in items]
+
+
 def test_emails_equal_the_pattern():
     rng = np.random.default_rng(3)
     pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
