@@ -7,7 +7,8 @@ probability min(1, c * weight), c such that KEEP of all tokens are expected to
 stay.  Whether a document stays depends on its id and the seed alone.
 
 Cells are combinations of labels, not documents; up to CELLS of them are raked in
-memory, more as a table of their own, by the same steps.
+memory, more as a table of their own: the same rounds, test of closeness and search
+for c, with sums that Spark takes.  Labels fit the driver in either case.
 
 Defined cases: null labels are the label "(none)"; null and empty texts have no
 tokens and take the probability of their cell; cells without tokens have weight
@@ -17,9 +18,11 @@ table gives no rows; columns of other names pass through `mix`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,33 +82,79 @@ def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], rounds: int
     return raked
 
 
-def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = 30) -> DataFrame:
-    """`rake` for any number of cells: adds the column raked.  Labels of a dimension must fit the driver."""
-    spark = cells.sparkSession
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    cells = cells.withColumn("raked", F.col("tokens").cast("double"))
+_CODES = [_P + "code_" + d for d in DIMENSIONS]
+
+
+def _raked(b: pa.RecordBatch, logs: list[np.ndarray]) -> np.ndarray:
+    """Tokens by the factors of a cell's labels, as logarithms: a factor alone may leave the range of a float."""
+    with np.errstate(divide="ignore"):
+        out = np.log(np.asarray(b.column("tokens")).astype(float))
+    return np.exp(out + sum(x[np.asarray(b.column(c))] for x, c in zip(logs, _CODES, strict=True)))
+
+
+def _sums(logs, column: str):
+    def run(batches):
+        for b in batches:
+            labels, at = np.unique(np.asarray(b.column(column)), return_inverse=True)
+            if len(labels):
+                yield pa.RecordBatch.from_arrays([pa.array(labels), pa.array(np.bincount(at, _raked(b, logs.value), len(labels)))], names=["label", "tokens"])
+
+    return run
+
+
+def _with_raked(logs):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*DIMENSIONS, "tokens")), pa.array(_raked(b, logs.value))], names=[*DIMENSIONS, "tokens", "raked"])
+
+    return run
+
+
+def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
+    """`rake` for any number of cells: source, lang, topic, tokens and raked.  Labels of a dimension must fit the driver."""
+    spark, wants = cells.sparkSession, []
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    coded = cells.select(*DIMENSIONS, F.col("tokens").cast("long").alias("tokens"))
+    for d, c in zip(DIMENSIONS, _CODES, strict=True):
+        labels = cells.groupBy(d).agg(F.sum("tokens")).collect()
+        share = np.array([targets[d].get(x, 0.0) * ((n or 0) > 0) for x, n in labels])
+        wants.append(share / share.sum() * total if share.sum() else share)
+        coded = coded.join(spark.createDataFrame([(r[0], i) for i, r in enumerate(labels)], f"{d} string, {c} int"), d)
+    coded = saved(coded.select(*DIMENSIONS, "tokens", *_CODES))
+    logs = [np.zeros(len(x)) for x in wants]
     for _ in range(rounds):
-        for d in DIMENSIONS:
-            have = {r[0]: r[1] for r in cells.groupBy(d).agg(F.sum("raked")).collect() if r[1]}
-            kept = sum(targets[d].get(x, 0.0) for x in have) or 1.0
-            factors = spark.createDataFrame([(x, targets[d].get(x, 0.0) / kept * total / v) for x, v in have.items()], f"{d} string, factor double")
-            cells = cells.join(factors, d, "left").withColumn("raked", F.col("raked") * F.coalesce("factor", F.lit(1.0))).drop("factor")
-        cells = saved(cells)
-    return cells
+        worst = 0.0
+        for i, want in enumerate(wants):
+            known = spark.sparkContext.broadcast(logs)
+            sums = coded.mapInArrow(_sums(known, _CODES[i]), "label int, tokens double").groupBy("label").agg(F.sum("tokens").alias("tokens")).toPandas()
+            known.destroy()
+            have = np.zeros(len(want))
+            have[sums["label"].to_numpy(int)] = sums["tokens"].to_numpy(float)
+            factor = np.divide(want, have, out=np.ones_like(want), where=have > 0)
+            worst = max(worst, float(np.abs(have - want).max()) / total) if total else 0.0
+            with np.errstate(divide="ignore"):
+                logs[i] = logs[i] + np.log(factor)
+        if worst <= close:
+            break
+    return saved(coded.mapInArrow(_with_raked(spark.sparkContext.broadcast(logs)), "source string, lang string, topic string, tokens long, raked double"))
 
 
-def scale(weights: np.ndarray, tokens: np.ndarray, keep: float) -> float:
-    """c with sum(tokens * min(1, c * weights)) = keep * sum(tokens)."""
+def search(got: Callable[[float], float], want: float) -> float:
+    """The least c, by doubling and halving, with got(c) = want; got must not fall."""
     low, high = 0.0, 1.0
-    want = keep * tokens.sum()
-    while (tokens * np.minimum(1, high * weights)).sum() < want and high < 1e18:
+    while got(high) < want and high < 1e18:
         high *= 2
     for _ in range(100):
         mid = (low + high) / 2
-        low, high = (mid, high) if (tokens * np.minimum(1, mid * weights)).sum() < want else (low, mid)
+        low, high = (mid, high) if got(mid) < want else (low, mid)
     return high
 
 
+def scale(weights: np.ndarray, tokens: np.ndarray, keep: float) -> float:
+    """c with sum(tokens * min(1, c * weights)) = keep * sum(tokens)."""
+    return search(lambda c: (tokens * np.minimum(1, c * weights)).sum(), keep * tokens.sum())
+
+
 def probabilities(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, limit: int = CELLS) -> DataFrame:
     """weight and probability of each cell of (source, lang, topic, tokens)."""
     spark = cells.sparkSession
@@ -121,11 +170,8 @@ def probabilities(cells: DataFrame, targets: dict[str, dict[str, float]] | None
         rows = list(table[[*DIMENSIONS, "weight", "probability"]].itertuples(index=False, name=None))
         return F.broadcast(spark.createDataFrame(rows, "source string, lang string, topic string, weight double, probability double"))  # `limit` rows at most
     raked = rake_table(cells, targets).withColumn("weight", F.coalesce(F.try_divide("raked", F.col("tokens").cast("double")), F.lit(1.0)))
-    low, high, total = 0.0, 1e6, raked.agg(F.sum("tokens")).first()[0]
-    for _ in range(40):
-        mid = (low * high) ** 0.5 if low else high / 1e4
-        got = raked.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * mid))).first()[0]
-        low, high = (mid, high) if got < keep * total else (low, mid)
+    total = raked.agg(F.sum("tokens")).first()[0] or 0
+    high = search(lambda c: raked.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * c))).first()[0] or 0.0, keep * total)
     return raked.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") * high).alias("probability"))
 
 

@@ -98,6 +98,21 @@ def test_raking_as_a_table_is_the_same(spark):
     assert large == {k: pytest.approx(v, rel=1e-3) for k, v in small.items()}
 
 
+def test_raking_of_sparse_cells_as_a_table_is_the_same(spark):
+    """Sources of mostly one language: 30 rounds are far from the end, and both forms go on to it."""
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 5000, 60).tolist()
+    rows = [(f"s{i}", "xyz"[i % 3], "pq"[i % 2], n) for i, n in enumerate(sizes)] + [(f"s{i}", "xyz"[(i + 1) % 3], "pq"[i // 2 % 2], 1 + n // 7) for i, n in enumerate(sizes)]
+    cells = pd.DataFrame(rows, columns=[*mixing.DIMENSIONS, "tokens"])
+    targets = {d: mixing.tempered(cells.groupby(d)["tokens"].sum().to_dict(), mixing.TEMPER[d]) for d in mixing.DIMENSIONS}
+    whole = mixing.rake(cells, targets)
+    assert np.abs(mixing.rake(cells, targets, rounds=30) / whole - 1).max() > 1e-5
+    df = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").coalesce(1).persist()
+    small = {tuple(r)[:3]: (r.weight, r.probability) for r in mixing.probabilities(df).collect()}
+    large = {tuple(r)[:3]: (r.weight, r.probability) for r in mixing.probabilities(df, limit=1).collect()}
+    assert large == {k: pytest.approx(v, rel=1e-6) for k, v in small.items()}
+
+
 def test_mix_of_odd_rows(spark):
     rows = [(i, None if i % 50 == 0 else "some words here " * (i % 7), None if i % 3 else "s", "en") for i in range(400)] + [(None, "w", "s", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
