@@ -5,21 +5,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a temporary folder in local mode (tests) and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.gettempdir()
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/larkspan-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """`df` computed once and read back from spark.checkpoint.dir; a folder of our own only where that is unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """`df` computed once and read back from the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet under spark.checkpoint.dir and read back; for tables that grow with the corpus."""
-    spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/larkspan-{uuid.uuid4().hex}"
+    """`df` written as Parquet in the shared folder and read back; for tables that grow with the corpus."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
