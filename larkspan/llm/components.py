@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.lineage import saved
 
+#: A hub's links, and the nodes of one label, meet their label in as many groups.
+SALTS = 8
+
+
+def _salt(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("byte").alias("salt")
+
+
+def _dealt(labels: DataFrame) -> DataFrame:
+    return labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<byte>")))
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all ends of `edges` (a long, b long); the component is its smallest node.
@@ -15,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     label's own label, so rounds grow with the logarithm of the longest path.
     Labels only fall, so an unchanged sum ends it.  No edges: an empty table.
     """
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
+    both = saved(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct().select("a", "b", _salt("a")))
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     total = None
     while True:
@@ -23,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == total:
             return labels
         total = now
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
-        nearer = labels.join(near, "node").select("node", F.least("component", "least").alias("component"))
-        jump = nearer.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        labels = saved(nearer.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component")))
+        near = both.join(_dealt(labels.withColumnRenamed("node", "b")), ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
+        nearer = saved(labels.join(near, "node").select("node", F.least("component", "least").alias("component")))
+        heads = nearer.select("component").distinct().join(nearer.select(F.col("node").alias("component"), F.col("component").alias("further")), "component")
+        labels = saved(nearer.select("node", "component", _salt("node")).join(_dealt(heads), ["component", "salt"], "left").select("node", F.coalesce("further", "component").alias("component")))

@@ -7,13 +7,15 @@ text (two texts at 0.8 share none with probability 0.002) and verifies on whole
 shingle sets:
 
 1. Each document of a key against the key's smallest and largest doc_id.
-2. Where a key then still holds two groups or more, its documents against those of
-   other groups, by the prefix filter: of two sets at 0.8 with shingles in one
+2. Where a key then still holds two groups or more of documents besides those two,
+   they are compared with those of other groups, by the prefix filter: of two sets at 0.8 with shingles in one
    order, rare ones first, the first ninth of the smaller and the first fifth of
    the larger share a shingle that leaves enough behind it.  This misses none.
 
 So every two texts at 0.8 that share a key end in one group.  A group of near
-copies costs two links per document, as in 1, and no pairs of its own in 2.
+copies costs two links per document, as in 1, and no pairs of its own in 2.  The
+shingles of a document that many pairs name are dealt out to as many tasks as it has
+hundreds of pairs.
 
 Defined cases: texts of fewer than five words have no shingles and no links;
 rows that share a doc_id link that id once for each; other columns are not read.
@@ -70,18 +72,27 @@ def _sets(batches):
 _SETS = "doc_id long, print long, shingles array<long>"
 
 
+_SHARE = 100
+
+
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) whose texts are similar."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    """Links (a, b), b the smaller, of those of `pairs` (doc, hub, n) whose texts are similar; `hub` is in some `n` pairs, `doc` in few."""
+    ends = pairs.select(F.explode(F.array("doc", "hub")).alias("doc_id")).distinct()
     sets = texts.join(ends, "doc_id", "left_semi").mapInArrow(_sets, _SETS)
-    x, y = sets.alias("x"), sets.alias("y")
-    both = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id"))
-    shared = F.size(F.array_intersect("x.shingles", "y.shingles"))
-    return both.filter(shared >= SIMILAR * (F.size("x.shingles") + F.size("y.shingles") - shared)).select("a", "b").distinct()
+    last = F.floor(F.col("n") / _SHARE)
+    dealt = pairs.select("doc", "hub", F.pmod(F.xxhash64("doc"), last + 1).alias("part"))
+    wanted = pairs.groupBy("hub").agg(F.max(last).alias("last"))
+    y = sets.join(wanted, F.col("doc_id") == F.col("hub")).select("hub", F.col("shingles").alias("theirs"), F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("part"))
+    x = sets.select(F.col("doc_id").alias("doc"), "shingles")
+    # in sizes this far apart no two sets are similar
+    both = dealt.join(x, "doc").join(y, ["hub", "part"]).filter(F.least(F.size("shingles"), F.size("theirs")) >= SIMILAR * F.greatest(F.size("shingles"), F.size("theirs")))
+    shared = F.size(F.array_intersect("shingles", "theirs"))
+    similar = both.filter(shared >= SIMILAR * (F.size("shingles") + F.size("theirs") - shared))
+    return similar.select(F.greatest("doc", "hub").alias("a"), F.least("doc", "hub").alias("b")).distinct()
 
 
 def _candidates(texts: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Pairs (a, b), b the smaller, of documents of `grouped` (doc_id, component) in two components; all that are similar are among them."""
+    """Pairs (doc, hub, n) of documents of `grouped` (doc_id, component) in two components; all that are similar are among them."""
     sets = texts.join(grouped, "doc_id").select("doc_id", "text").mapInArrow(_sets, _SETS)
     each = sets.join(grouped, "doc_id").select("doc_id", "print", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     # a shingle of one component meets no other: such ones come first in the order
@@ -96,20 +107,21 @@ def _candidates(texts: DataFrame, grouped: DataFrame) -> DataFrame:
     larger = (ys < xs) | (ys == xs) & (F.col("y.doc_id") < F.col("x.doc_id"))
     enough = F.least("x.left", "y.left") >= need(SIMILAR / (1 + SIMILAR), xs + ys)
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & larger & enough)
-    return met.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
+    return met.select(F.col("x.doc_id").alias("doc"), F.col("y.doc_id").alias("hub")).distinct().withColumn("n", F.lit(0).cast("long"))
 
 
 def resembling_links(docs: DataFrame, among: DataFrame) -> DataFrame:
     """Links (a, b), b the smaller, between documents of `docs` (doc_id, text) whose ids are in `among` (doc_id, each once)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = saved(texts.mapInArrow(_bands, "key long, doc_id long").join(among, "doc_id").select("key", "doc_id"))
-    hubs = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
-    met = keys.join(hubs, "key").select("key", "doc_id", "low", "high")
-    hub = met.select("doc_id", F.explode(F.array("low", "high")).alias("hub")).filter("doc_id <> hub")
-    pairs = saved(hub.select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct())
+    hubs = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
+    met = keys.join(hubs, "key").select("key", "doc_id", "low", "high", "n")
+    hub = met.select(F.col("doc_id").alias("doc"), F.explode(F.array("low", "high")).alias("hub"), "low", "n").filter("doc <> hub AND NOT (hub <> low AND doc = low)")
+    pairs = saved(hub.groupBy("doc", "hub").agg(F.max("n").alias("n")))
     links = saved(_verified(texts, pairs))
     groups = components(links).withColumnRenamed("node", "doc_id")
-    grouped = met.select("key", "doc_id").join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rest = met.filter("n > 3 AND doc_id <> low AND doc_id <> high").select("key", "doc_id")
+    grouped = rest.join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     unsettled = saved(grouped.join(split, "key", "left_semi").select("doc_id", "component").distinct())
     return links.union(_verified(texts, saved(_candidates(texts, unsettled))))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larkspan.llm.columns import free
 from larkspan.llm.components import components
 from larkspan.llm.lineage import saved
 from larkspan.llm.resemblance import resembling_links
@@ -104,14 +105,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with one document of each group of near-duplicates: its smallest doc_id, once.  Rows without an id stay.
 
-    Groups are the components over fingerprints and, between their first documents,
-    over texts that share 0.8 of their five-word shingles.
+    Groups are the components over fingerprints, joined with the links between texts
+    that share 0.8 of their five-word shingles; of equal texts the smallest doc_id
+    stands for all.  Of different texts under one kept doc_id, that of the smallest
+    hash stays.
     """
     own = docs.filter("doc_id IS NOT NULL")
-    firsts = saved(near_duplicates(own).filter("doc_id = component_id").select("doc_id").distinct())
-    later = components(resembling_links(own, firsts)).filter("node <> component").select(F.col("node").alias("doc_id"))
-    kept = firsts.join(later, "doc_id", "left_anti")
-    one = docs.join(kept, "doc_id").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter("_nth = 1").drop("_nth")
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = own.groupBy(F.xxhash64(text).alias("hash")).agg(F.min(doc_id).alias("doc_id")).select("doc_id").distinct()
+    members = saved(near_duplicates(own).select("doc_id", "component_id").distinct().join(texts, "doc_id"))
+    nodes = members.select("doc_id").distinct()
+    links = resembling_links(own, nodes).union(members.filter("doc_id <> component_id"))
+    later = components(links).filter("node <> component").select(F.col("node").alias("doc_id"))
+    kept = nodes.join(later, "doc_id", "left_anti")
+    nth = free(docs, "_nth")
+    one = docs.join(kept, "doc_id").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(text)))).filter(f"{nth} = 1")
     return one.select(docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
