@@ -9,12 +9,14 @@ template's grams it has and by its width.  Phrases of up to three words are one
 gram: every verified span is then one place of the phrase.
 
 Only DataFrame functions are used.  The templates are a constant of this module
-(under 200 grams), so the broadcast side has a fixed size.  Grams are compared by
-64-bit hashes.
+(under 200 grams), so the broadcast side has a fixed size, and grams that are in no
+template are left out of a text's array before it is exploded: one pass over the
+texts leaves a few places of each.  Grams are compared by 64-bit hashes, and rows
+are told apart by a 64-bit hash of doc_id and text.
 
 Defined cases: null and empty texts have no words; a text with no match has null
-places, empty labels and score 0; rows that share a doc_id count as one text's
-votes; a null doc_id is one more id; other columns are not read.
+places, empty labels and score 0; repeated rows (same doc_id, same text) are scanned
+alike, different texts of one doc_id, or of none, apart; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larkspan.llm.lineage import saved
+
 DRIFT, SHARE, STRETCH = 2, 0.6, 1.5
 #: (label, text, base phrase?): phrases and well-known openings of license texts: fixed values.
 TEMPLATES = [
@@ -37,7 +41,6 @@ TEMPLATES = [
     ("cc-by-notice", "licensed under cc by nc 4 0", False),
     ("warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", False),
 ]
-_NO_ID = 2**63 - 1
 
 
 def template_grams() -> list[tuple[int, int, int, str, bool, int, list[str]]]:
@@ -62,13 +65,17 @@ def scan(docs: DataFrame) -> DataFrame:
     # of the letters whose lower case is ASCII only the Kelvin sign is not A-Z
     text = F.lower(F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\u00e9")))
     words = F.regexp_extract_all(text, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), 1)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), words.alias("words"))
-    counted = rows.select("id", F.size("words").cast("long").alias("n_words"))
-    hashed = rows.select("id", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    known = [r["hash"] for r in table.select("hash").distinct().collect()]
+    doc_id, raw = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id.isNull(), doc_id, raw).alias("id"), words.alias("words"))
+    hashed = rows.select("doc_id", "id", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     wh, n = F.col("h"), F.col("n")
     rolling = lambda k: F.transform(F.slice(wh, 1, F.greatest(n - (k - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(wh, i + j) for j in range(1, k))))
-    places = hashed.select("id", "n", F.posexplode(F.concat(rolling(2), rolling(3))).alias("pos", "hash"))
-    places = places.select("id", "hash", F.when(F.col("pos") < F.col("n") - 1, F.col("pos")).otherwise(F.col("pos") - (F.col("n") - 1)).alias("at"))
+    rolled = hashed.select("doc_id", "id", "n", rolling(2).alias("pairs"), rolling(3).alias("triples"))
+    template = lambda g, i: F.when(g.isin(known), F.struct(g.alias("hash"), i.alias("at")))
+    met = F.array_compact(F.concat(F.transform("pairs", template), F.transform("triples", template)))
+    rows = saved(rolled.select("doc_id", "id", n.cast("long").alias("n_words"), met.alias("met")))
+    places = rows.select("id", F.explode("met").alias("gram")).select("id", "gram.hash", "gram.at")
     voted = places.join(F.broadcast(table), "hash")  # a constant of this module
     diagonals = voted.groupBy("id", "template", "k", "label", "base", "n_grams", (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.bit_or("vote").alias("mask"), F.min("at").alias("low"), (F.max("at") + F.first("k")).alias("high")
@@ -88,8 +95,8 @@ def scan(docs: DataFrame) -> DataFrame:
         F.max("share").alias("score"),
         F.array_sort(F.collect_list(F.struct("low", "high", "label"))).alias("spans"),
     )
-    return counted.join(found, "id", "left").select(
-        F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",
+    return rows.select("id", "doc_id", "n_words").join(found, "id", "left").select(
+        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), "spans",
     )
 
