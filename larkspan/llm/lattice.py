@@ -36,6 +36,8 @@ FOLDS, HELD_OUT, FREQUENT = 7, 2, 200_000
 #: Weight of the prior scores against the training words, as a number of pieces.
 PRIOR = 10_000.0
 _MARK, _END = "▁", ""
+#: Stands after each word in flat arrays of characters; words hold no white space.
+_NONE = " "
 _FLUSH = 400_000
 
 
@@ -59,87 +61,127 @@ def prior_scores(path: str = VOCABULARY) -> dict[str, float]:
 
 
 class Lattice:
-    """All segmentations of a word into scored pieces."""
+    """All segmentations of words into scored pieces, for many words in step.
+
+    A word of n characters has n + 1 places in flat arrays.  Pieces are found by
+    walking a trie from all places at once; the recursions go over places by their
+    distance from the start of their word.
+    """
 
     def __init__(self, scores: dict[str, float]):
         self.end = scores[_END]
-        self.byte = [scores[f"<0x{b:02X}>"] for b in range(256)]
-        self.scores: dict[str, float | None] = {p: s for p, s in scores.items() if p and not (p.startswith("<0x") and len(p) == 6)}
-        for piece in list(self.scores):
-            for n in range(1, len(piece)):
-                self.scores.setdefault(piece[:n], None)
-
-    def arcs(self, text: str) -> list[list[tuple[int, float]]]:
-        """For each place, (end, score) of the pieces that start there."""
-        get, n, out = self.scores.get, len(text), []
-        for i in range(n):
-            here = []
-            j = i + 1
-            score = get(text[i:j], 0.0)
-            if score is None or score < 0.0:
-                while score is None or score < 0.0:
-                    if score is not None:
-                        here.append((j, score))
-                    j += 1
-                    if j > n:
-                        break
-                    score = get(text[i:j], 0.0)
-            if not here or here[0][0] > i + 1:
-                here.insert(0, (i + 1, sum(self.byte[b] for b in text[i].encode())))
-            out.append(here)
+        self.byte = np.array([scores[f"<0x{b:02X}>"] for b in range(256)])
+        self.pieces = [p for p in scores if p and not (p.startswith("<0x") and len(p) == 6)]
+        self.scores = np.array([scores[p] for p in self.pieces])
+        nodes: dict[tuple[int, str], int] = {}
+        named = {0: -1}
+        for i, piece in enumerate(self.pieces):
+            at = 0
+            for c in piece:
+                at = nodes.setdefault((at, c), len(nodes) + 1)
+            named[at] = i
+        keys = np.array([(a << 21) | ord(c) for a, c in nodes], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], np.array(list(nodes.values()), np.int64)[order]
+        self.named = np.array([named.get(i, -1) for i in range(len(nodes) + 1)], np.int64)
+
+    def arcs(self, words: list[str]):
+        """(first place of each word, distance of each place, characters, start, end, piece or -1 for bytes, score) of all arcs."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        first = np.cumsum(sizes) - sizes
+        chars = np.frombuffer((_NONE.join(words) + _NONE).encode("utf-32-le"), np.uint32).astype(np.int64)
+        place = np.arange(len(chars)) - np.repeat(first, sizes)
+        at = np.arange(len(chars))
+        node, found, n = np.zeros(len(chars), np.int64), [], 0
+        spelt = chars != ord(_NONE)
+        while len(at):
+            key = (node << 21) | chars[at + n]
+            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            ok = (self.keys[i] == key) & spelt[at + n]
+            at, node, n = at[ok], self.child[i[ok]], n + 1
+            piece = self.named[node]
+            is_piece = piece >= 0
+            found.append((at[is_piece], at[is_piece] + n, piece[is_piece]))
+            if n == 1:
+                bytewise = spelt.copy()
+                bytewise[at[is_piece]] = False
+        low = np.flatnonzero(bytewise)
+        kinds, of = np.unique(chars[low], return_inverse=True)
+        spellings = np.array([self.byte[list(chr(c).encode())].sum() for c in kinds.tolist()])
+        start, end, piece = (np.concatenate(x) for x in zip(*found, (low, low + 1, np.full(len(low), -1)), strict=True))
+        score = np.concatenate([self.scores[piece[: len(piece) - len(low)]], spellings[of] if len(low) else np.empty(0)])
+        return first, place, chars, start, end, piece, score
+
+    @staticmethod
+    def _sums(n: int, place: np.ndarray, of: np.ndarray, other: np.ndarray, score: np.ndarray, back: bool) -> np.ndarray:
+        """Log of the total over all ways to each place `of` arcs from their `other` place, by rising (back: falling) distance."""
+        out = np.zeros(n)
+        step = place[of]
+        order = np.lexsort((of, -step if back else step))
+        of, other, score, step = of[order], other[order], score[order], step[order]
+        new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        many = np.diff([*new, len(of)])
+        turn = np.flatnonzero(np.concatenate([[True], step[new][1:] != step[new][:-1]]))
+        for g, h in zip(turn.tolist(), [*turn[1:].tolist(), len(new)], strict=True):
+            low, high = new[g], new[h - 1] + many[h - 1]
+            ways = out[other[low:high]] + score[low:high]
+            top = np.maximum.reduceat(ways, new[g:h] - low)
+            out[of[new[g:h]]] = top + np.log(np.add.reduceat(np.exp(ways - np.repeat(top, many[g:h])), new[g:h] - low))
         return out
 
-    def forward(self, arcs: list[list[tuple[int, float]]]) -> list[float]:
-        """Log of the total probability of all ways to each place."""
-        into: list[list[float]] = [[] for _ in range(len(arcs) + 1)]
-        out = [0.0] * (len(arcs) + 1)
-        exp, log = math.exp, math.log
-        for i, here in enumerate(arcs):
-            if i:
-                ways = into[i]
-                if len(ways) == 1:
-                    out[i] = ways[0]
-                else:
-                    top = max(ways)
-                    out[i] = top + log(sum([exp(w - top) for w in ways]))
-            a = out[i]
-            for j, score in here:
-                into[j].append(a + score)
-        top = max(into[-1])
-        out[-1] = top + log(sum([exp(w - top) for w in into[-1]]))
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Natural log of the marginal probability of each word; of the end for the empty one."""
+        out = np.full(len(words), self.end)
+        for at in _chunks(words):
+            first, place, chars, start, end, _, score = self.arcs([_MARK + words[i] for i in at])
+            into = self._sums(len(chars), place, end, start, score, False)
+            out[at] = into[[*(first[1:] - 1), len(chars) - 1]]
         return out
 
     def log_probability(self, word: str) -> float:
-        """Natural log of the marginal probability of a word; of the end for the empty one."""
-        return self.forward(self.arcs(_MARK + word))[-1] if word else self.end
+        return float(self.log_probabilities([word])[0])
 
     def expect(self, word: str, times: float, into: dict[str, float]) -> None:
         """Add to `into` how often each piece is expected in `times` occurrences of a word."""
-        if not word:
-            into[_END] = into.get(_END, 0.0) + times
-            return
-        text = _MARK + word
-        arcs = self.arcs(text)
-        a = self.forward(arcs)
-        total, exp, log = a[-1], math.exp, math.log
-        b = [0.0] * (len(arcs) + 1)
-        for i in range(len(arcs) - 1, -1, -1):
-            ways = [s + b[j] for j, s in arcs[i]]
-            if len(ways) == 1:
-                b[i] = ways[0]
-            else:
-                top = max(ways)
-                b[i] = top + log(sum([exp(w - top) for w in ways]))
-            base = a[i] - total
-            for (j, _), w in zip(arcs[i], ways, strict=True):
-                if (x := exp(base + w)) > 1e-9:
-                    piece = text[i:j]
-                    if self.scores.get(piece) is None:
-                        for byte in piece.encode():
-                            name = f"<0x{byte:02X}>"
-                            into[name] = into.get(name, 0.0) + x * times
-                    else:
-                        into[piece] = into.get(piece, 0.0) + x * times
+        for piece, x in self.expected([word], [times]).items():
+            into[piece] = into.get(piece, 0.0) + x
+
+    def expected(self, words: list[str], times: list[float]) -> dict[str, float]:
+        """How often each piece is expected in `times` occurrences of each word."""
+        found, spelt = np.zeros(len(self.pieces)), np.zeros(256)
+        for at in _chunks(words):
+            first, place, chars, start, end, piece, score = self.arcs([_MARK + words[i] for i in at])
+            into = self._sums(len(chars), place, end, start, score, False)
+            rest = self._sums(len(chars), place, start, end, score, True)
+            of = np.repeat(np.arange(len(at)), np.diff([*first, len(chars)]))[start]
+            share = np.exp(into[start] + score + rest[end] - rest[first][of]) * np.array([times[i] for i in at], float)[of]
+            plain = piece >= 0
+            found += np.bincount(piece[plain], share[plain], len(found))
+            for c, x in zip(*_totals(chars[start[~plain]], share[~plain]), strict=True):
+                np.add.at(spelt, list(chr(c).encode()), x)
+        out = {self.pieces[i]: float(found[i]) for i in np.flatnonzero(found)} | {f"<0x{i:02X}>": float(spelt[i]) for i in np.flatnonzero(spelt)}
+        ends = sum(n for w, n in zip(words, times, strict=True) if not w)
+        return out | {_END: float(ends)} if ends else out
+
+
+def _totals(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[float]]:
+    kinds, of = np.unique(keys, return_inverse=True)
+    return kinds.tolist(), np.bincount(of, values, len(kinds)).tolist()
+
+
+def _chunks(words: list[str], limit: int = 200_000):
+    """Indices of the words that aren't empty, in lists of about `limit` characters, words of like length together."""
+    out, size = [], 0
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        if not words[i]:
+            continue
+        if out and size + len(words[i]) > limit:
+            yield out
+            out, size = [], 0
+        out.append(i)
+        size += len(words[i])
+    if out:
+        yield out
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -176,10 +218,9 @@ def _count(batches):
 
 def _expect(scores):
     def run(batches):
-        lattice, found = Lattice(scores.value), {}
+        lattice, found = Lattice(scores.value), Counter()
         for b in batches:
-            for word, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist(), strict=True):
-                lattice.expect(word, c, found)
+            found.update(lattice.expected(b.column("word").to_pylist(), b.column("c").to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], names=["piece", "times"])
 
     return run
@@ -189,8 +230,8 @@ def _probabilities(scores):
     def run(batches):
         lattice = Lattice(scores.value)
         for b in batches:
-            found = [lattice.log_probability(w) / math.log(10) for w in b.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(found, pa.float64())], names=["word", "c", "model"])
+            found = lattice.log_probabilities(b.column("word").to_pylist()) / math.log(10)
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(found)], names=["word", "c", "model"])
 
     return run
 
@@ -249,15 +290,14 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: int = FREQUEN
             cut += 1
             break
     often = (size >= cut) | (F.col("word") == _END)
-    top = words.filter(often).toPandas()  # `frequent` rows and one at most
-    lattice = Lattice(scores)
-    index = {w.encode(): i for i, w in enumerate([*top["word"], *([] if (top["word"] == _END).any() else [_END])])}
-    c = np.zeros(len(index), np.int64)
-    c[: len(top)] = top["c"]
-    model = np.array([lattice.log_probability(w.decode()) / math.log(10) for w in index])
+    top = words.filter(often).mapInArrow(_probabilities(shared), "word string, c long, model double").toPandas()  # `frequent` rows and one at most
+    if not (top["word"] == _END).any():
+        top.loc[len(top)] = (_END, 0, scores[_END] / math.log(10))
+    index = {w.encode(): i for i, w in enumerate(top["word"])}
+    c, model = top["c"].to_numpy(np.int64), top["model"].to_numpy(float)
     sums = docs.mapInArrow(_sum(context.broadcast((index, (c > 0).astype(np.int64), np.log10((c + 1) / (n + v + 1)), model))), "row long, doc_id long, held_out boolean, word string, n long, known long, base double, model double")
-    scored = words.filter(~often).mapInArrow(_probabilities(shared), "word string, c long, model double").select("word", "c", F.col("model").alias("rare_model"))
-    met = sums.join(scored, "word", "left")
+    rare = words.filter(~often).mapInArrow(_probabilities(shared), "word string, c long, model double").select("word", "c", F.col("model").alias("rare_model"))
+    met = sums.join(rare, "word", "left")
     own = F.col("n").isNotNull()
     base = F.when(own, F.col("base")).otherwise(F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))))
     return met.groupBy("row", "doc_id", "held_out").agg(
