@@ -1,5 +1,7 @@
 r"""Substring deduplication by seed and extend (operator 10).
 
+0. Of equal texts only the first (smallest doc_id) goes on; every window of the
+   others starts in it, so all their words go.
 1. Every window of `span` words selects its smallest k-gram as an anchor
    (winnowing), by content alone: equal windows select equal anchors.
 2. Anchors meet by hash; those in two documents or more are seeds.
@@ -10,14 +12,15 @@ r"""Substring deduplication by seed and extend (operator 10).
 
 What a map task already knows to be shared it passes on by document, and tells
 the others with one row per hash; a passage in a third of all documents puts no
-more than one row per map chunk on its key.
+more than one row per map chunk on its key.  Reduce tasks take their rows sorted by
+hash (Spark's sort spills) and hold one batch and what is open of one hash.
 
 Defined cases: null and empty texts have no words; texts shorter than `span`
 words keep all; a null doc_id counts as the largest; repeated rows (same doc_id,
 same text) each keep what one of them would keep; different texts of one doc_id,
 or of none, have places of their own and repeat nothing from each other; other
-columns are not read.  Windows are compared by 64-bit hashes, and places are kept
-by a 64-bit hash of doc_id and text.
+columns are not read.  Windows and whole texts are compared by 64-bit hashes, and
+places are kept by a 64-bit hash of doc_id and text.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspan.llm.lineage import saved
 from larkspan.llm.textops import Words, mix, slices, winnow
 
 SPAN, GRAM = 13, 6
@@ -94,25 +98,49 @@ def _anchors(span: int, gram: int):
     return run
 
 
-def _meet(by, keep_settled_or):
-    """Reduce stage: (row, at) of the settled rows and of those that `keep_settled_or` picks from the others of their hash."""
+def _meet(by, settle):
+    """Reduce stage over rows sorted by key: (row, at) of the settled rows and of those that `settle` picks from the others of their hash.
+
+    The last hash of a batch stays open: what is picked goes out at once, and `settle`
+    keeps what the rest of the hash has to know.
+    """
+    names = ("key", by, "row", "at")
+
+    def out(row, at):
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(at)], names=["row", "at"])
 
     def run(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        hashes, docs, row, at = (pa.Table.from_batches(rows).column(c).to_numpy() for c in ("key", by, "row", "at"))
-        keep = at < -1
-        seek = ~keep
-        many, low = _met(hashes[seek], docs[seek], at[seek] == -1)
-        keep[seek] = keep_settled_or(docs[seek], at[seek], many, low)
-        yield pa.RecordBatch.from_arrays([pa.array(row[keep]), pa.array(np.where(at < -1, -2 - at, at)[keep])], names=["row", "at"])
+        open_ = [np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int32)]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = [np.asarray(b.column(c)) for c in names]
+            done = new[3] < -1
+            yield out(new[2][done], -2 - new[3][done])
+            key, docs, row, at = (np.concatenate([o, n[~done]]) for o, n in zip(open_, new, strict=True))
+            many, low = _met(key, docs, at == -1)
+            pick, keep = settle(docs, at, many, low)
+            yield out(row[pick], at[pick])
+            keep &= key == key[-1] if len(key) else keep
+            open_ = [x[keep] for x in (key, docs, row, at)]
+            if len(key) and settle is _pick_seeds and many[-1]:  # one row tells the rest
+                open_ = [key[-1:], docs[-1:], row[-1:], np.array([-1], np.int32)]
 
     return run
 
 
-_seeds = _meet("row", lambda docs, at, many, low: many & (at >= 0))
-_later = _meet("doc_id", lambda docs, at, many, low: docs > low)
+def _pick_seeds(docs, at, many, low):
+    pick = many & (at >= 0)
+    return pick, ~pick
+
+
+def _pick_later(docs, at, many, low):
+    pick = docs > low
+    return pick, ~pick
+
+
+_seeds = _meet("row", _pick_seeds)
+_later = _meet("doc_id", _pick_later)
 
 
 def _flags(lists: pa.Array, w: Words) -> np.ndarray:
@@ -148,7 +176,10 @@ def _cut(span: int):
         for b in slices(batches, "text"):
             w = Words(b.column("text"))
             step = np.zeros(len(w) + span + 1, dtype=np.int64)
-            start = np.flatnonzero(_flags(b.column("ats"), w))
+            ok = np.zeros(len(w), bool)
+            ok[: len(w) - span + 1 if len(w) >= span else 0] = w.within(span)
+            again = ~np.asarray(b.column("first").fill_null(False))
+            start = np.flatnonzero(_flags(b.column("ats"), w) | ok & again[w.row])
             np.add.at(step, start, 1)
             np.add.at(step, start + span, -1)
             gone = np.cumsum(step)[: len(w)] > 0
@@ -176,10 +207,13 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
     docs = docs.select(F.coalesce(doc_id, F.lit(_LAST)).alias("doc_id"), doc_id.isNull().alias("none"), F.xxhash64(doc_id.isNull(), doc_id, text).alias("row"), text.alias("text"))
+    firsts = saved(docs.groupBy(F.xxhash64("text").alias("twin")).agg(F.min(F.struct("doc_id", "none", "row"))["row"].alias("row")).select("row"))
+    dealt = lambda rows: rows.repartition(parts, "key").sortWithinPartitions("key")
     by_row = lambda rows: rows.groupBy("row").agg(F.collect_set("at").alias("ats"))
-    seeds = by_row(docs.mapInArrow(_anchors(span, gram), _MEET).repartition(parts, "key").mapInArrow(_seeds, "row long, at int"))
-    repeats = by_row(docs.join(seeds, "row").mapInArrow(_extend(span, gram), _MEET).repartition(parts, "key").mapInArrow(_later, "row long, at int"))
-    out = docs.join(repeats, "row", "left").withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id")))
+    seeds = by_row(dealt(docs.join(firsts, "row", "left_semi").mapInArrow(_anchors(span, gram), _MEET)).mapInArrow(_seeds, "row long, at int"))
+    repeats = by_row(dealt(docs.join(seeds, "row").mapInArrow(_extend(span, gram), _MEET)).mapInArrow(_later, "row long, at int"))
+    marks = firsts.join(repeats, "row", "left").select("row", "ats", F.lit(True).alias("first"))
+    out = docs.join(marks, "row", "left").withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id")))
     return out.mapInArrow(_cut(span), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
