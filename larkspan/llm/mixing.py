@@ -13,7 +13,7 @@ for c, with sums that Spark takes.  Labels fit the driver in either case.
 Defined cases: null labels are the label "(none)"; null and empty texts have no
 tokens and take the probability of their cell; cells without tokens have weight
 1; a null doc_id draws as the empty string; repeated rows draw alike; an empty
-table gives no rows; columns of other names pass through `mix`.
+table gives no rows; other columns pass through `mix` whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspan.llm.columns import free
 from larkspan.llm.lineage import saved
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -42,11 +43,12 @@ def topic_of(text: Column) -> Column:
     return F.when(bars * 50 > size, "table").when(size < 500, "note").when(size < 5000, "article").otherwise("book")
 
 
-def _labelled(docs: DataFrame) -> DataFrame:
+def _labelled(docs: DataFrame, p: str = _P) -> DataFrame:
+    """`docs` with the labels and tokens of each row under names that begin with `p`."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(text)
     labels = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": topic}
-    return docs.withColumns({_P + k: F.coalesce(v, F.lit("(none)")) for k, v in labels.items()} | {f"{_P}n": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")})
+    return docs.withColumns({p + k: F.coalesce(v, F.lit("(none)")) for k, v in labels.items()} | {f"{p}n": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")})
 
 
 def draw(key: Column, seed: int = SEED) -> Column:
@@ -175,16 +177,17 @@ def probabilities(cells: DataFrame, targets: dict[str, dict[str, float]] | None
     return raked.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") * high).alias("probability"))
 
 
-def _joined(labelled: DataFrame, targets, keep: float) -> DataFrame:
-    keys = [F.col(_P + d).alias(d) for d in DIMENSIONS]
-    cells = labelled.groupBy(*keys).agg(F.sum(f"{_P}n").alias("tokens"))
+def _joined(labelled: DataFrame, targets, keep: float, p: str = _P) -> DataFrame:
+    keys = [F.col(p + d).alias(d) for d in DIMENSIONS]
+    cells = labelled.groupBy(*keys).agg(F.sum(f"{p}n").alias("tokens"))
     odds = probabilities(cells, targets, keep)
-    return labelled.join(odds.select(*(F.col(d).alias(_P + d) for d in DIMENSIONS), F.col("weight").alias(f"{_P}weight"), F.col("probability").alias(f"{_P}p")), [_P + d for d in DIMENSIONS])
+    return labelled.join(odds.select(*(F.col(d).alias(p + d) for d in DIMENSIONS), F.col("weight").alias(f"{p}weight"), F.col("probability").alias(f"{p}p")), [p + d for d in DIMENSIONS])
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, seed: int = SEED) -> DataFrame:
     """The rows of `docs` (doc_id, text, lang, source, perhaps topic) that are drawn."""
-    return _joined(_labelled(docs), targets, keep).filter(draw(F.col("doc_id"), seed) < F.col(f"{_P}p")).select(docs.columns)
+    p = free(docs, _P)
+    return _joined(_labelled(docs, p), targets, keep, p).filter(draw(F.col("doc_id"), seed) < F.col(f"{p}p")).select(docs.columns)
 
 
 def op1_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ with fewer distinct hashes than windows are sorted to find which.
 Defined cases: null and empty texts have no words and fail `n_words`; texts of
 fewer than five words have no window; a measure per word counts as 0 without
 words; repeated rows are judged alike; all other columns pass through, and the
-columns made on the way carry names that no input column has.
+columns made on the way get names that no input column has.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspan.llm.columns import free
+
 WINDOW = 5
 #: Frequent function words of the four languages: fixed values.
 STOP_WORDS = ["the", "of", "and", "to", "in", "a", "is", "that", "for", "on", "with", "de", "la", "le", "les", "des", "et", "en", "un", "une", "que", "der", "die", "das", "und", "ein", "mit", "von", "el", "los", "las", "del", "y", "se", "por"]
@@ -33,52 +35,52 @@ def _removed(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """`docs` with the measures of its `text` under `__lq_` names."""
+def measures(docs: DataFrame, p: str = _P) -> DataFrame:
+    """`docs` with the measures of its `text` under names that begin with `p`."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    with_words = docs.withColumn(f"{_P}text", text).withColumn(f"{_P}words", F.regexp_extract_all(f"{_P}text", F.lit(r"([^\x20\x09-\x0D]+)"), 1))
-    words = F.col(f"{_P}words")
-    lines = F.filter(F.split(f"{_P}text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    with_words = docs.withColumn(f"{p}text", text).withColumn(f"{p}words", F.regexp_extract_all(f"{p}text", F.lit(r"([^\x20\x09-\x0D]+)"), 1))
+    words = F.col(f"{p}words")
+    lines = F.filter(F.split(f"{p}text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     stops = F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))
     counted = with_words.select(
         *docs.columns,
-        F.size(words).alias(f"{_P}n_words"),
-        F.length(F.translate(f"{_P}text", " \t\n\x0b\x0c\r", "")).alias(f"{_P}word_chars"),
-        _removed(F.col(f"{_P}text"), "#*$%&|<>").alias(f"{_P}n_symbols"),
-        _removed(F.col(f"{_P}text"), "!").alias(f"{_P}n_exclaims"),
-        F.size(stops).alias(f"{_P}n_stops"),
-        lines.alias(f"{_P}lines"),
-        F.transform(words, lambda w: F.xxhash64(w)).alias(f"{_P}h"),
+        F.size(words).alias(f"{p}n_words"),
+        F.length(F.translate(f"{p}text", " \t\n\x0b\x0c\r", "")).alias(f"{p}word_chars"),
+        _removed(F.col(f"{p}text"), "#*$%&|<>").alias(f"{p}n_symbols"),
+        _removed(F.col(f"{p}text"), "!").alias(f"{p}n_exclaims"),
+        F.size(stops).alias(f"{p}n_stops"),
+        lines.alias(f"{p}lines"),
+        F.transform(words, lambda w: F.xxhash64(w)).alias(f"{p}h"),
     )
-    h, n = F.col(f"{_P}h"), F.col(f"{_P}n_words")
+    h, n = F.col(f"{p}h"), F.col(f"{p}n_words")
     windows = F.transform(F.slice(h, 1, F.greatest(n - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, WINDOW))))
-    hashed = counted.withColumn(f"{_P}n_lines", F.size(f"{_P}lines")).withColumn(f"{_P}n_dup_lines", F.size(f"{_P}lines") - F.size(F.array_distinct(f"{_P}lines"))).withColumn(f"{_P}g", windows).drop(f"{_P}lines", f"{_P}h")
-    g = F.col(f"{_P}g")
+    hashed = counted.withColumn(f"{p}n_lines", F.size(f"{p}lines")).withColumn(f"{p}n_dup_lines", F.size(f"{p}lines") - F.size(F.array_distinct(f"{p}lines"))).withColumn(f"{p}g", windows).drop(f"{p}lines", f"{p}h")
+    g = F.col(f"{p}g")
     repeats = F.size(F.array_distinct(g)) < F.size(g)
-    ranked = hashed.withColumn(f"{_P}s", F.when(repeats, F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("x"), i.alias("i")))))).drop(f"{_P}g")
-    s = F.col(f"{_P}s")
+    ranked = hashed.withColumn(f"{p}s", F.when(repeats, F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("x"), i.alias("i")))))).drop(f"{p}g")
+    s = F.col(f"{p}s")
     same = F.filter(s, lambda e, i: ((i > 0) & (F.get(s, i - 1)["x"] == e["x"])) | F.coalesce(F.get(s, i + 1)["x"] == e["x"], F.lit(False)))
-    placed = ranked.withColumn(f"{_P}at", F.sort_array(F.transform(same, lambda e: e["i"]))).drop(f"{_P}s")
-    at = F.col(f"{_P}at")
+    placed = ranked.withColumn(f"{p}at", F.sort_array(F.transform(same, lambda e: e["i"]))).drop(f"{p}s")
+    at = F.col(f"{p}at")
     covered = F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")), lambda a, x: F.struct((a["n"] + x + WINDOW - F.greatest(x, a["upto"])).alias("n"), (x + WINDOW).alias("upto")), lambda a: a["n"])
-    return placed.withColumn(f"{_P}n_repeat_words", F.coalesce(covered, F.lit(0))).drop(f"{_P}at")
+    return placed.withColumn(f"{p}n_repeat_words", F.coalesce(covered, F.lit(0))).drop(f"{p}at")
 
 
-def _of(name: str) -> Column:
-    return F.col(_P + name.strip())
+def _of(name: str, p: str = _P) -> Column:
+    return F.col(p + name.strip())
 
 
-def base_failed() -> Column:
-    return (_of("n_words") < 10) | (100 * _of("n_repeat_words").cast("long") > 20 * _of("n_words").cast("long"))
+def base_failed(p: str = _P) -> Column:
+    return (_of("n_words", p) < 10) | (100 * _of("n_repeat_words", p).cast("long") > 20 * _of("n_words", p).cast("long"))
 
 
-def verdict(thresholds=THRESHOLDS) -> Column:
+def verdict(thresholds=THRESHOLDS, p: str = _P) -> Column:
     """The rules of the table that a row fails, as an array of names."""
     arms = []
     for rule, measure, least, most, words in thresholds:
-        part, whole = (_of(x) for x in measure.split("/"))
+        part, whole = (_of(x, p) for x in measure.split("/"))
         value = F.coalesce(F.try_divide(part, whole), F.lit(0.0))
-        arms.append(F.when((_of("n_words") >= words) & ((value < least) | (value > most)), F.lit(rule)))
+        arms.append(F.when((_of("n_words", p) >= words) & ((value < least) | (value > most)), F.lit(rule)))
     return F.array_compact(F.array(*arms))
 
 
@@ -88,8 +90,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     The verdict goes through a generator: a filter on it isn't pushed below the
     projections, where it would evaluate every measure within every other.
     """
-    judged = measures(docs).select(*docs.columns, (~base_failed() & (F.size(verdict()) == 0)).alias(f"{_P}ok"))
-    return judged.select(*docs.columns, F.explode(F.array(f"{_P}ok")).alias(f"{_P}kept")).filter(f"{_P}kept").select(docs.columns)
+    p = free(docs, _P)
+    judged = measures(docs, p).select(*docs.columns, (~base_failed(p) & (F.size(verdict(p=p)) == 0)).alias(f"{p}ok"))
+    return judged.select(*docs.columns, F.explode(F.array(f"{p}ok")).alias(f"{p}kept")).filter(f"{p}kept").select(docs.columns)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
