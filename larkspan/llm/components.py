@@ -35,6 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
         total = now
         near = both.join(_dealt(labels.withColumnRenamed("node", "b")), ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
-        nearer = saved(labels.join(near, "node").select("node", F.least("component", "least").alias("component")))
-        heads = nearer.select("component").distinct().join(nearer.select(F.col("node").alias("component"), F.col("component").alias("further")), "component")
-        labels = saved(nearer.select("node", "component", _salt("node")).join(_dealt(heads), ["component", "salt"], "left").select("node", F.coalesce("further", "component").alias("component")))
+        nearer = labels.join(near, "node").select("node", F.least("component", "least").alias("component"))
+        jump = _dealt(nearer.select(F.col("node").alias("component"), F.col("component").alias("further")))
+        labels = saved(nearer.select("node", "component", _salt("node")).join(jump, ["component", "salt"], "left").select("node", F.coalesce("further", "component").alias("component")))

@@ -110,18 +110,30 @@ def _candidates(texts: DataFrame, grouped: DataFrame) -> DataFrame:
     return met.select(F.col("x.doc_id").alias("doc"), F.col("y.doc_id").alias("hub")).distinct().withColumn("n", F.lit(0).cast("long"))
 
 
-def resembling_links(docs: DataFrame, among: DataFrame) -> DataFrame:
-    """Links (a, b), b the smaller, between documents of `docs` (doc_id, text) whose ids are in `among` (doc_id, each once)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def hub_links(texts: DataFrame, among: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Step 1: links (a, b) to the hubs of each key, and (key, doc_id) of the documents that step 2 may have to compare."""
     keys = saved(texts.mapInArrow(_bands, "key long, doc_id long").join(among, "doc_id").select("key", "doc_id"))
     hubs = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
-    met = keys.join(hubs, "key").select("key", "doc_id", "low", "high", "n")
+    met = saved(keys.join(hubs, "key").select("key", "doc_id", "low", "high", "n"))
     hub = met.select(F.col("doc_id").alias("doc"), F.explode(F.array("low", "high")).alias("hub"), "low", "n").filter("doc <> hub AND NOT (hub <> low AND doc = low)")
-    pairs = saved(hub.groupBy("doc", "hub").agg(F.max("n").alias("n")))
-    links = saved(_verified(texts, pairs))
-    groups = components(links).withColumnRenamed("node", "doc_id")
-    rest = met.filter("n > 3 AND doc_id <> low AND doc_id <> high").select("key", "doc_id")
-    grouped = rest.join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    links = saved(_verified(texts, saved(hub.groupBy("doc", "hub").agg(F.max("n").alias("n")))))
+    return links, met.filter("n > 3 AND doc_id <> low AND doc_id <> high").select("key", "doc_id")
+
+
+def rest_links(texts: DataFrame, rest: DataFrame, groups: DataFrame) -> DataFrame:
+    """Step 2: links (a, b) between documents of `rest` (key, doc_id) that share a key and are in two components of `groups` (node, component)."""
+    grouped = rest.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     unsettled = saved(grouped.join(split, "key", "left_semi").select("doc_id", "component").distinct())
-    return links.union(_verified(texts, saved(_candidates(texts, unsettled))))
+    return saved(_verified(texts, saved(_candidates(texts, unsettled))))
+
+
+def resembling_links(docs: DataFrame, among: DataFrame) -> DataFrame:
+    """Links (a, b), b the smaller, between documents of `docs` (doc_id, text) whose ids are in `among` (doc_id, each once)."""
+    texts = texts_of(docs)
+    links, rest = hub_links(texts, among)
+    return links.union(rest_links(texts, rest, components(links)))

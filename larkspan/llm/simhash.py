@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from larkspan.llm.columns import free
 from larkspan.llm.components import components
 from larkspan.llm.lineage import saved
-from larkspan.llm.resemblance import resembling_links
+from larkspan.llm.resemblance import hub_links, rest_links, texts_of
 from larkspan.llm.textops import bytes_of, slices
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -110,15 +110,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stands for all.  Of different texts under one kept doc_id, that of the smallest
     hash stays.
     """
-    own = docs.filter("doc_id IS NOT NULL")
-    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = own.groupBy(F.xxhash64(text).alias("hash")).agg(F.min(doc_id).alias("doc_id")).select("doc_id").distinct()
-    members = saved(near_duplicates(own).select("doc_id", "component_id").distinct().join(texts, "doc_id"))
-    nodes = members.select("doc_id").distinct()
-    links = resembling_links(own, nodes).union(members.filter("doc_id <> component_id"))
-    later = components(links).filter("node <> component").select(F.col("node").alias("doc_id"))
+    own = texts_of(docs.filter("doc_id IS NOT NULL"))
+    nodes = saved(own.groupBy(F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    prints = saved(fingerprints(own).join(nodes, "doc_id", "left_semi").distinct())
+    classes = saved(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")))
+    first = lambda end: classes.select(F.col("print").alias(end), F.col("first_id").alias(f"first_{end}"))
+    near = ball_links(classes.select("print")).join(first("a"), "a").join(first("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    alike = prints.join(classes, "print").filter("doc_id <> first_id").select("doc_id", "first_id")
+    links, rest = hub_links(own, nodes)
+    links = saved(near.union(alike).union(links))
+    groups = components(links)
+    more = rest_links(own, rest, groups)
+    if not more.isEmpty():
+        groups = components(links.union(more))
+    later = groups.filter("node <> component").select(F.col("node").alias("doc_id"))
     kept = nodes.join(later, "doc_id", "left_anti")
-    nth = free(docs, "_nth")
+    nth, text = free(docs, "_nth"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     one = docs.join(kept, "doc_id").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(text)))).filter(f"{nth} = 1")
     return one.select(docs.columns).union(docs.filter("doc_id IS NULL"))
 
