@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspan.llm.components import components
-from larkspan.llm.lineage import saved
+from larkspan.llm.lineage import saved, stored
 from larkspan.llm.textops import Words, mix, slices
 
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 5
@@ -75,10 +75,8 @@ _SETS = "doc_id long, print long, shingles array<long>"
 _SHARE = 100
 
 
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Links (a, b), b the smaller, of those of `pairs` (doc, hub, n) whose texts are similar; `hub` is in some `n` pairs, `doc` in few."""
-    ends = pairs.select(F.explode(F.array("doc", "hub")).alias("doc_id")).distinct()
-    sets = texts.join(ends, "doc_id", "left_semi").mapInArrow(_sets, _SETS)
     last = F.floor(F.col("n") / _SHARE)
     dealt = pairs.select("doc", "hub", F.pmod(F.xxhash64("doc"), last + 1).alias("part"))
     wanted = pairs.groupBy("hub").agg(F.max(last).alias("last"))
@@ -91,9 +89,8 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return similar.select(F.greatest("doc", "hub").alias("a"), F.least("doc", "hub").alias("b")).distinct()
 
 
-def _candidates(texts: DataFrame, grouped: DataFrame) -> DataFrame:
+def _candidates(sets: DataFrame, grouped: DataFrame) -> DataFrame:
     """Pairs (doc, hub, n) of documents of `grouped` (doc_id, component) in two components; all that are similar are among them."""
-    sets = texts.join(grouped, "doc_id").select("doc_id", "text").mapInArrow(_sets, _SETS)
     each = sets.join(grouped, "doc_id").select("doc_id", "print", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     # a shingle of one component meets no other: such ones come first in the order
     wide = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle", "n")
@@ -114,26 +111,26 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def hub_links(texts: DataFrame, among: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Step 1: links (a, b) to the hubs of each key, and (key, doc_id) of the documents that step 2 may have to compare."""
+def hub_links(texts: DataFrame, among: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Step 1: links (a, b) to the hubs of each key, (key, doc_id) of the documents that step 2 may have to compare, and the shingle sets of all that share a key."""
     keys = saved(texts.mapInArrow(_bands, "key long, doc_id long").join(among, "doc_id").select("key", "doc_id"))
     hubs = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
     met = saved(keys.join(hubs, "key").select("key", "doc_id", "low", "high", "n"))
+    sets = stored(texts.join(met.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets, _SETS))
     hub = met.select(F.col("doc_id").alias("doc"), F.explode(F.array("low", "high")).alias("hub"), "low", "n").filter("doc <> hub AND NOT (hub <> low AND doc = low)")
-    links = saved(_verified(texts, saved(hub.groupBy("doc", "hub").agg(F.max("n").alias("n")))))
-    return links, met.filter("n > 3 AND doc_id <> low AND doc_id <> high").select("key", "doc_id")
+    links = saved(_verified(sets, saved(hub.groupBy("doc", "hub").agg(F.max("n").alias("n")))))
+    return links, met.filter("n > 3 AND doc_id <> low AND doc_id <> high").select("key", "doc_id"), sets
 
 
-def rest_links(texts: DataFrame, rest: DataFrame, groups: DataFrame) -> DataFrame:
+def rest_links(sets: DataFrame, rest: DataFrame, groups: DataFrame) -> DataFrame:
     """Step 2: links (a, b) between documents of `rest` (key, doc_id) that share a key and are in two components of `groups` (node, component)."""
     grouped = rest.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     unsettled = saved(grouped.join(split, "key", "left_semi").select("doc_id", "component").distinct())
-    return saved(_verified(texts, saved(_candidates(texts, unsettled))))
+    return saved(_verified(sets, saved(_candidates(sets, unsettled))))
 
 
 def resembling_links(docs: DataFrame, among: DataFrame) -> DataFrame:
     """Links (a, b), b the smaller, between documents of `docs` (doc_id, text) whose ids are in `among` (doc_id, each once)."""
-    texts = texts_of(docs)
-    links, rest = hub_links(texts, among)
-    return links.union(rest_links(texts, rest, components(links)))
+    links, rest, sets = hub_links(texts_of(docs), among)
+    return links.union(rest_links(sets, rest, components(links)))

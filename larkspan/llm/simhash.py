@@ -117,10 +117,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = lambda end: classes.select(F.col("print").alias(end), F.col("first_id").alias(f"first_{end}"))
     near = ball_links(classes.select("print")).join(first("a"), "a").join(first("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
     alike = prints.join(classes, "print").filter("doc_id <> first_id").select("doc_id", "first_id")
-    links, rest = hub_links(own, nodes)
+    links, rest, sets = hub_links(own, nodes)
     links = saved(near.union(alike).union(links))
     groups = components(links)
-    more = rest_links(own, rest, groups)
+    more = rest_links(sets, rest, groups)
     if not more.isEmpty():
         groups = components(links.union(more))
     later = groups.filter("node <> component").select(F.col("node").alias("doc_id"))
