@@ -40,10 +40,10 @@ def _assigned(items: DataFrame, pool: DataFrame, group: str, value: list[str], s
 
 
 def prompts(reviews: DataFrame, names: dict[str, list[tuple[str, str]]] = NAMES, seed: str = "42") -> DataFrame:
-    """Five rows per review: no name, and a name of each named condition, balanced to a difference of one."""
+    """Five rows per review (review_id unique): no name, and a name of each named condition, balanced to a difference of one.  Ids are numbered and assigned alone; texts join last."""
     pool = pool_table(reviews.sparkSession, names)
-    items = numbered(reviews, F.col("review_id"), "_i", seed).withColumn("condition", F.explode(F.array(*map(F.lit, CONDITIONS))))
-    named = _assigned(items, pool, "condition", ["name", "sub_region"], seed)
+    items = numbered(reviews.select("review_id"), F.col("review_id"), "_i", seed).withColumn("condition", F.explode(F.array(*map(F.lit, CONDITIONS))))
+    named = _assigned(items, pool, "condition", ["name", "sub_region"], seed).join(reviews.select("review_id", "text", "sentiment_label", "source", "stars"), "review_id")
     region, gender = condition_parts(F.col("condition"))
     none = F.col("condition") == "none"
     name = F.coalesce("name", F.lit(""))
@@ -58,9 +58,10 @@ def location_prompts(reviews: DataFrame, locations: dict[str, list[str]] = LOCAT
     """Two name-free rows per review, one place of each region."""
     spark = reviews.sparkSession
     pool = spark.createDataFrame([(r, x) for r, xs in locations.items() for x in xs], "region string, location string")
-    items = numbered(reviews, F.col("review_id"), "_i", seed).withColumn("region", F.explode(F.array(*map(F.lit, locations))))
+    items = numbered(reviews.select("review_id"), F.col("review_id"), "_i", seed).withColumn("region", F.explode(F.array(*map(F.lit, locations))))
     text = F.concat(F.lit("Written in: "), "location", F.lit('\n\nReview: "'), "text", F.lit(ASK))
-    return _assigned(items, pool, "region", ["location"], seed).select(F.concat_ws("_", "review_id", F.lit("loc"), "region").alias("prompt_id"), "review_id", F.concat(F.lit("location_"), "region").alias("condition"), "region", "location", text.alias("prompt_text"), "sentiment_label", "source", "stars")
+    placed = _assigned(items, pool, "region", ["location"], seed).join(reviews.select("review_id", "text", "sentiment_label", "source", "stars"), "review_id")
+    return placed.select(F.concat_ws("_", "review_id", F.lit("loc"), "region").alias("prompt_id"), "review_id", F.concat(F.lit("location_"), "region").alias("condition"), "region", "location", text.alias("prompt_text"), "sentiment_label", "source", "stars")
 
 
 def name_usage(prompts: DataFrame) -> DataFrame:

@@ -3,34 +3,46 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspan.functions.numbering import numbered
 from larkspan.functions.text import LABELS
 from larkspan.operators.design import NAMED
 
 
-def draws(n: Column, replicates: int, seed: str) -> Column:
-    """For the rows of a one-row table of n: the cluster drawn in place i of replicate b, by hash."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("b").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long") % n
+BLOCK = 10_000
 
 
-def resampled(clusters: DataFrame, sums: list[str], replicates: int, seed: str) -> DataFrame:
-    """b and the sums of every replicate of `clusters` (cluster, sums...): n draws of n clusters each.
+def resampled(clusters: DataFrame, sums: list[str], replicates: int, seed: str, by: str | None = None) -> DataFrame:
+    """b and the sums of every replicate of `clusters` (sums...), for each value of `by`: n draws of n clusters each, by hash.
 
-    Clusters are summed before, so a draw joins one small row; draws are made on the
-    executors from a range and summed per replicate before the exchange.
+    The sums of a cluster are small whole numbers, so Spark reduces the clusters to
+    one row per combination (a few dozen), and a draw takes a combination by its
+    share: no draw meets a table of clusters, and the table is read once.  Draws are
+    made on the executors, in blocks, and counted before the exchange.
     """
-    ranked = numbered(clusters, F.col("cluster"), "pick")
-    n = clusters.agg(F.count(F.lit(1)).alias("n"))
-    grid = clusters.sparkSession.range(replicates).withColumnRenamed("id", "b").repartition(F.col("b"))
-    grid = grid.join(F.broadcast(n)).filter("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    drawn = grid.select("b", draws(F.col("n"), replicates, seed).alias("pick"))
-    return drawn.join(ranked.select("pick", *sums), "pick").groupBy("b").agg(*(F.sum(s).alias(s) for s in sums))
+    spark = clusters.sparkSession
+    kinds = clusters.groupBy(*([by] if by else []), *sums).agg(F.count(F.lit(1)).alias("_k")).collect()
+    out = []
+    for group in sorted({r[by] for r in kinds}) if by else [None]:
+        own = sorted((tuple(r[s] for s in sums), r["_k"]) for r in kinds if not by or r[by] == group)
+        n = sum(k for _, k in own)
+        block = spark.range(replicates).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // BLOCK))).alias("x"))
+        drawn = block.select("b", F.explode(F.sequence(F.col("x") * BLOCK, F.least(F.lit(n - 1), F.col("x") * BLOCK + BLOCK - 1))).alias("i"))
+        pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("b").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long") % n
+        kind = F
+        for j, end in enumerate(accumulate(k for _, k in own)):
+            kind = kind.when(F.col("pick") < end, j)
+        counts = drawn.select("b", pick.alias("pick")).groupBy("b", kind.alias("kind")).agg(F.count(F.lit(1)).alias("k"))
+        table = spark.createDataFrame([(j, *map(int, v)) for j, (v, _) in enumerate(own)], "kind int, " + ", ".join(f"{s} long" for s in sums))
+        total = counts.join(F.broadcast(table), "kind").groupBy("b").agg(*(F.sum(F.col(s) * F.col("k")).alias(s) for s in sums))  # a row per combination
+        out.append(total.withColumn(by, F.lit(group)) if by else total)
+    return reduce(DataFrame.union, out) if out else clusters.select(F.lit(0).cast("long").alias("b"), *sums, *([by] if by else [])).limit(0)
 
 
 def level_sums(merged: DataFrame, column: str, a: str, b: str) -> DataFrame:
@@ -45,8 +57,8 @@ def bootstrap_difference(merged: DataFrame, column: str, a: str, b: str, replica
     return sums.select("b", (F.try_divide("sa", "na") - F.try_divide("sb", "nb")).alias("diff")).filter("diff IS NOT NULL")
 
 
-def interval(replicates: DataFrame, value: str = "diff") -> DataFrame:
-    return replicates.agg(*(F.percentile(value, F.lit(q)).alias(n) for n, q in (("ci95_lo", 0.025), ("ci95_hi", 0.975), ("ci90_lo", 0.05), ("ci90_hi", 0.95))))
+def interval(replicates: DataFrame, value: str = "diff", by: str | None = None) -> DataFrame:
+    return replicates.groupBy(*([by] if by else [])).agg(*(F.percentile(value, F.lit(q)).alias(n) for n, q in (("ci95_lo", 0.025), ("ci95_hi", 0.975), ("ci90_lo", 0.05), ("ci90_hi", 0.95))))
 
 
 def tost(intervals: DataFrame, sd: Column, sesoi: float = 0.2) -> DataFrame:
@@ -195,7 +207,8 @@ def kappa_interval(raters: DataFrame, weighted: bool = False, replicates: int =
     return ordered.filter(n > 0).select(F.element_at("v", F.floor(0.025 * n).cast("int") + 1).alias("ci95_lo"), F.element_at("v", F.greatest(F.floor(0.975 * n).cast("int"), F.lit(1))).alias("ci95_hi"))
 
 
-def accuracy_interval(merged: DataFrame, condition: str, replicates: int = 1000, seed: str = "42") -> DataFrame:
-    clusters = merged.filter(F.col("condition") == condition).groupBy(F.col("review_id").alias("cluster")).agg(F.sum("correct").alias("ok"), F.count(F.lit(1)).alias("n_rows"))
-    acc = resampled(clusters, ["ok", "n_rows"], replicates, seed).select((F.col("ok") / F.col("n_rows")).alias("diff"))
-    return interval(acc).select(F.lit(condition).alias("condition"), "ci95_lo", "ci95_hi")
+def accuracy_intervals(merged: DataFrame, replicates: int = 1000, seed: str = "42") -> DataFrame:
+    """condition, ci95_lo, ci95_hi of the accuracy of every condition, reviews resampled."""
+    clusters = merged.groupBy("condition", "review_id").agg(F.sum("correct").alias("ok"), F.count(F.lit(1)).alias("n_rows"))
+    acc = resampled(clusters, ["ok", "n_rows"], replicates, seed, "condition").select("condition", (F.col("ok") / F.col("n_rows")).alias("diff"))
+    return interval(acc, by="condition").select("condition", "ci95_lo", "ci95_hi")

@@ -55,10 +55,11 @@ def class_metrics(merged: DataFrame) -> DataFrame:
 def flip_rate(merged: DataFrame) -> DataFrame:
     """Per model and subset (overall, ambiguous: three stars, clear_cut): reviews with all named conditions, how many have more than one label, and the share."""
     per = merged.filter(F.col("condition").isin(NAMED)).groupBy("model", "review_id").agg(F.countDistinct("condition").alias("k"), (F.countDistinct("predicted_label") > 1).cast("int").alias("flip"), F.min_by("stars", "prompt_id").alias("stars"))
+    models = merged.select("model").distinct()
     full = per.filter(F.col("k") == len(NAMED))
     sets = F.array(F.lit("overall"), F.when(F.col("stars") == 3, "ambiguous").otherwise("clear_cut"))
     found = full.withColumn("subset", F.explode(sets)).groupBy("model", "subset").agg(F.count(F.lit(1)).alias("n_reviews"), F.sum("flip").alias("n_flipped"))
-    grid = merged.select("model").distinct().withColumn("subset", F.explode(F.array(*map(F.lit, ["overall", "ambiguous", "clear_cut"]))))
+    grid = models.withColumn("subset", F.explode(F.array(*map(F.lit, ["overall", "ambiguous", "clear_cut"]))))
     out = grid.join(found, ["model", "subset"], "left").select("model", "subset", F.coalesce("n_reviews", F.lit(0)).alias("n_reviews"), F.coalesce("n_flipped", F.lit(0)).alias("n_flipped"))
     return out.withColumn("flip_rate", F.try_divide("n_flipped", "n_reviews"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspan.functions.text import GENDER_CUES, LABELS, ORIGIN_TERMS, STOP_WORDS, URL_CONTACT, term_pattern
+from larkspan.functions.lists import GENDER_CUES, ORIGIN_TERMS, ROLE_NAME, STOP_WORDS, URL_CONTACT
+from larkspan.functions.text import LABELS, term_pattern
 from larkspan.operators.design import ASK, CONDITIONS, LOCATIONS, NAMED, NAMES
-from larkspan.operators.screening import ROLE_NAME
 from larkspan.plans.queries import QUOTAS
 
 
@@ -27,8 +27,17 @@ profile AS (
          CAST(len(toks) AS INTEGER) AS n_tokens, len(list_filter(toks, lambda x: x IN ({_list(STOP_WORDS)}))) / greatest(len(toks), 1) AS stop_ratio, md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS dedup_key
   FROM toks
 )"""
-ELIGIBLE = REVIEWS + """, eligible AS (
-  SELECT * FROM reviews WHERE n_words BETWEEN 20 AND 120 QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY doc_id) = 1
+
+
+def _rx(pattern: str) -> str:
+    """For RE2, whose classes are ASCII alone; texts are normalised, so white space is the space."""
+    return _q("(?i)" + pattern.replace("(?iU)", "").replace(r"\w", r"\p{L}\p{N}_").replace(r"\d", r"\p{Nd}"))
+
+
+_REASON = f"""CASE WHEN stars IS NULL THEN 'bad_rating' WHEN stars NOT IN ({", ".join(map(str, QUOTAS))}) THEN 'rating_not_in_plan' WHEN n_words < 20 OR n_words > 120 THEN 'length' WHEN regexp_matches(text, {_rx(URL_CONTACT)}) THEN 'url_or_contact' WHEN ascii_ratio < 0.98 OR stop_ratio < 0.20 THEN 'non_english'
+  WHEN regexp_matches(text, {_q(ROLE_NAME)}) THEN 'person_name' WHEN regexp_matches(text, {_q("(?i)" + "|".join(GENDER_CUES))}) THEN 'gender_cue' WHEN regexp_matches(text, {_rx(term_pattern(ORIGIN_TERMS))}) THEN 'ethnicity_religion_location_cue' ELSE 'eligible' END"""
+ELIGIBLE = REVIEWS + f""", eligible AS (
+  SELECT * FROM reviews WHERE {_REASON} = 'eligible' QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY doc_id) = 1
 )"""
 _POOL = ", ".join(f"({_q(c)}, {_q(n)}, {_q(s)})" for c, pool in NAMES.items() for n, s in pool)
 PROMPTS = REVIEWS + f""", pool(condition, name, sub_region) AS (VALUES {_POOL}), items AS (
@@ -78,8 +87,8 @@ def _contrast(column: str, a: str, b: str) -> str:
 SELECT model, n_clusters, round(ma, 9) AS mean_a, round(mb, 9) AS mean_b, round(sd, 9) AS sd, round(ma - mb, 9) AS mean_diff, round((ma - mb) / nullif(sd, 0), 9) AS cohens_d FROM g"""
 
 
-def _draws(replicates: int, seed: str) -> str:
-    return f"""numbered AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(cluster AS VARCHAR)), cluster) - 1 AS pick FROM clusters
+def _draws(replicates: int, seed: str, order: str) -> str:
+    return f"""numbered AS (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS pick FROM clusters
 ), size AS (SELECT count(*) AS n FROM clusters
 ), drawn AS (SELECT b, ('0x' || substr(md5('{seed}:' || b || ':' || i), 1, 8))::BIGINT % n AS pick FROM (SELECT unnest(range({replicates})) AS b) CROSS JOIN (SELECT n, unnest(range(n)) AS i FROM size))"""
 
@@ -87,7 +96,7 @@ def _draws(replicates: int, seed: str) -> str:
 def _boot(column: str, a: str, b: str, seed: str) -> str:
     return f"""WITH {RESPONSES}, clusters AS (
   SELECT review_id AS cluster, sum(score) FILTER ({column} = '{a}') AS sa, count(*) FILTER ({column} = '{a}') AS na, sum(score) FILTER ({column} = '{b}') AS sb, count(*) FILTER ({column} = '{b}') AS nb FROM named GROUP BY review_id
-), {_draws(2000, seed)}, reps AS (SELECT b, sum(sa) / sum(na) - sum(sb) / sum(nb) AS d FROM drawn JOIN numbered USING (pick) GROUP BY b
+), {_draws(2000, seed, "sa, na, sb, nb")}, reps AS (SELECT b, sum(sa) / sum(na) - sum(sb) / sum(nb) AS d FROM drawn JOIN numbered USING (pick) GROUP BY b
 ), ci AS (SELECT round(quantile_cont(d, 0.025), 9) AS ci95_lo, round(quantile_cont(d, 0.975), 9) AS ci95_hi, round(quantile_cont(d, 0.05), 9) AS ci90_lo, round(quantile_cont(d, 0.95), 9) AS ci90_hi FROM reps)"""
 
 
@@ -99,12 +108,6 @@ def _kappa(weighted: bool) -> str:
 SELECT n, round(raw, 9) AS raw_agreement, round(CASE WHEN chance = 0 THEN 1 ELSE 1 - seen / (chance / (n * n)) END, 9) AS kappa, CASE WHEN n < 30 THEN 'too few rows' ELSE 'ok' END AS status FROM s, e"""
 
 
-def _rx(pattern: str) -> str:
-    return _q(pattern.replace("(?iU)", "(?i)"))
-
-
-_REASON = f"""CASE WHEN n_words < 20 OR n_words > 120 THEN 'length' WHEN regexp_matches(text, {_q("(?i)" + URL_CONTACT)}) THEN 'url_or_contact' WHEN ascii_ratio < 0.98 OR stop_ratio < 0.20 THEN 'non_english'
-  WHEN regexp_matches(text, {_q(ROLE_NAME)}) THEN 'person_name' WHEN regexp_matches(text, {_q("(?i)" + "|".join(GENDER_CUES))}) THEN 'gender_cue' WHEN regexp_matches(text, {_rx(term_pattern(ORIGIN_TERMS))}) THEN 'ethnicity_religion_location_cue' ELSE 'eligible' END"""
 _QUOTA = ", ".join(f"({s}, {q})" for s, q in QUOTAS.items())
 _LOC = ", ".join(f"({_q(r)}, {_q(x)})" for r, xs in LOCATIONS.items() for x in xs)
 _E = [f"list_transform(embedding[{1 + 3 * i} : {2 + 4 * i}], lambda x: -abs(CAST(x AS DOUBLE)))" for i in range(3)]
@@ -144,7 +147,9 @@ SELECT model, condition, count(*) AS n, '[' || {" || ',' || ".join("'[' || " + "
 SELECT m.model, g.subset, count(flip) AS n_reviews, coalesce(sum(flip), 0)::BIGINT AS n_flipped, round(avg(flip), 9) AS flip_rate FROM (SELECT DISTINCT model FROM merged) m CROSS JOIN (VALUES ('overall'), ('ambiguous'), ('clear_cut')) AS g(subset) LEFT JOIN s ON s.model = m.model AND s.subset = g.subset GROUP BY ALL""",
     "boot_region": _boot("region", "western", "south_asian", "42") + " SELECT * FROM ci",
     "boot_gender": _boot("gender", "male", "female", "43") + " SELECT * FROM ci",
-    "accuracy_ci": f"""WITH {RESPONSES}, sums AS (SELECT condition, review_id AS cluster, sum(correct) AS ok, count(*) AS n_rows FROM merged GROUP BY ALL), clusters AS (SELECT DISTINCT cluster FROM sums), {_draws(1000, "42")}, reps AS (SELECT condition, b, sum(ok) / sum(n_rows) AS d FROM drawn JOIN numbered USING (pick) JOIN sums USING (cluster) GROUP BY ALL)
+    "accuracy_ci": f"""WITH {RESPONSES}, sums AS (SELECT condition, review_id AS cluster, sum(correct) AS ok, count(*) AS n_rows FROM merged GROUP BY ALL), numbered AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY ok, n_rows) - 1 AS pick FROM sums), size AS (SELECT condition, count(*) AS n FROM sums GROUP BY condition
+), drawn AS (SELECT condition, b, ('0x' || substr(md5('42:' || b || ':' || i), 1, 8))::BIGINT % n AS pick FROM (SELECT unnest(range(1000)) AS b) CROSS JOIN (SELECT condition, n, unnest(range(n)) AS i FROM size)
+), reps AS (SELECT condition, b, sum(ok) / sum(n_rows) AS d FROM drawn JOIN numbered USING (condition, pick) GROUP BY ALL)
 SELECT condition, round(quantile_cont(d, 0.025), 9) AS ci95_lo, round(quantile_cont(d, 0.975), 9) AS ci95_hi FROM reps GROUP BY condition""",
     "tost": _boot("region", "western", "south_asian", "42") + ", sd AS (SELECT 0.2 * stddev_samp(score) AS r FROM named) SELECT ci90_lo, ci90_hi, ci95_lo, ci95_hi, round(r, 9) AS sesoi_raw, CASE WHEN ci90_lo > -r AND ci90_hi < r THEN 'equivalent' WHEN ci95_lo > 0 OR ci95_hi < 0 THEN 'significant' ELSE 'inconclusive' END AS verdict FROM ci, sd",
     "holm": "WITH p(term, p) AS (VALUES ('a', 0.01::DOUBLE), ('b', 0.02), ('c', 0.03), ('d', 0.5)) SELECT term, p, round(least(1.0, max(p * (5 - r)) OVER (ORDER BY r)), 9) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p) AS r FROM p)",
@@ -156,7 +161,7 @@ SELECT condition, round(quantile_cont(d, 0.025), 9) AS ci95_lo, round(quantile_c
 SELECT model, term, n AS n_groups, round(coef, 9) AS coef, round(sqrt(var), 9) AS se, round(coef / sqrt(var), 9) AS z, round(s2e, 9) AS residual_var, round(s2u, 9) AS intercept_var FROM t""",
     "kappa": _kappa(False),
     "kappa_weighted": _kappa(True),
-    "kappa_ci": f"""WITH {RATERS}, clusters AS (SELECT id AS cluster, a, b FROM raters), {_draws(2000, "42").replace("SELECT b, (", "SELECT r, (").replace("AS b)", "AS r)").replace(":' || b ||", ":' || r ||")}, cells AS (SELECT r, a, b, count(*) AS c FROM drawn JOIN numbered USING (pick) GROUP BY ALL
+    "kappa_ci": f"""WITH {RATERS}, clusters AS (SELECT id AS cluster, a, b FROM raters), {_draws(2000, "42", "a DESC, b DESC").replace("SELECT b, (", "SELECT r, (").replace("AS b)", "AS r)").replace(":' || b ||", ":' || r ||")}, cells AS (SELECT r, a, b, count(*) AS c FROM drawn JOIN numbered USING (pick) GROUP BY ALL
 ), n AS (SELECT r, sum(c) AS n, sum(c) FILTER (a <> b) AS d FROM cells GROUP BY r), ma AS (SELECT r, a AS l, sum(c) AS ca FROM cells GROUP BY ALL), mb AS (SELECT r, b AS l, sum(c) AS cb FROM cells GROUP BY ALL
 ), e AS (SELECT r, sum(ca * cb) AS same FROM ma JOIN mb USING (r, l) GROUP BY r), k AS (SELECT CASE WHEN coalesce(same, 0) = n * n THEN 1 ELSE 1 - (coalesce(d, 0) / n) / (1 - coalesce(same, 0) / (n * n)) END AS k FROM n LEFT JOIN e USING (r)
 ), o AS (SELECT list(k ORDER BY k) AS v FROM k) SELECT round(v[CAST(floor(0.025 * len(v)) AS INTEGER) + 1], 9) AS ci95_lo, round(v[CAST(floor(0.975 * len(v)) AS INTEGER)], 9) AS ci95_hi FROM o""",

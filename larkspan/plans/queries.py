@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +23,12 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews(spark, sf_dir).withColumn("reject_reason", screening.reject_reason())
+    return reviews(spark, sf_dir).withColumn("reject_reason", screening.reject_reason(list(QUOTAS)))
 
 
 def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of 20 to 120 words, first of each text."""
-    return sampling.first_of_key(reviews(spark, sf_dir).filter("n_words BETWEEN 20 AND 120").select("doc_id", "review_id", "source", "stars", "text", "dedup_key", "sentiment_label"), "dedup_key", ["doc_id"])
+    """Documents that the cascade leaves, first of each text."""
+    return sampling.first_of_key(screened(spark, sf_dir).filter("reject_reason IS NULL").select("doc_id", "review_id", "source", "stars", "text", "dedup_key", "sentiment_label"), "dedup_key", ["doc_id"])
 
 
 def prompts(spark, sf_dir):
@@ -71,7 +69,7 @@ def name_flags(spark, sf_dir):
     """Title-case words that are among the most frequent first words of names in the default pools; here with the pools' given names as lexicon."""
     given = sorted({n.split()[0] for pool in design.NAMES.values() for n, _ in pool} | {"The", "That", "Un", "Der"})
     lexicon = spark.createDataFrame([(g,) for g in given], "token string")
-    return screening.top_tokens(screening.name_tokens(reviews(spark, sf_dir), F.broadcast(lexicon), allowed=["Am", "Are"], allowed_first=["Will"]))
+    return screening.top_tokens(screening.name_tokens(reviews(spark, sf_dir), F.broadcast(lexicon)))
 
 
 def dedup_first(spark, sf_dir):
@@ -196,8 +194,7 @@ def _boot(column, a, b, seed):
 
 
 def accuracy_ci(spark, sf_dir):
-    m = merged(spark, sf_dir)
-    out = reduce(DataFrame.union, [inference.accuracy_interval(m, c) for c in design.CONDITIONS])
+    out = inference.accuracy_intervals(merged(spark, sf_dir))
     return out.select("condition", R9("ci95_lo").alias("ci95_lo"), R9("ci95_hi").alias("ci95_hi"))
 
 
