@@ -72,3 +72,12 @@ def identity_failures(prompts: DataFrame, reviews: DataFrame) -> DataFrame:
     """condition, n_prompts, n_changed: prompts whose embedded text isn't the review's."""
     inside = F.regexp_extract("prompt_text", r'(?s)Review: "(.*)"\n\nIs the sentiment', 1)
     return prompts.join(reviews.select("review_id", "text"), "review_id").groupBy("condition").agg(F.count(F.lit(1)).alias("n_prompts"), F.sum((inside != F.col("text")).cast("long")).alias("n_changed"))
+
+
+def usage_ranges(usage: DataFrame) -> DataFrame:
+    """condition, n_names, least, most of the uses of its names."""
+    return usage.groupBy("condition").agg(F.count(F.lit(1)).alias("n_names"), F.min("n_uses").alias("least"), F.max("n_uses").alias("most"))
+
+
+def usage_by_sub_region(usage: DataFrame) -> DataFrame:
+    return usage.groupBy("condition", "sub_region").agg(F.sum("n_uses").alias("n_uses"))

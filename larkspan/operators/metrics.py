@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.functions.text import LABELS
@@ -17,6 +17,16 @@ def complete_models(merged: DataFrame, least: int = 250) -> DataFrame:
     return n.withColumn("status", F.when(F.col("n_reviews") >= least, "ok").otherwise("too few reviews"))
 
 
+def of_complete_models(merged: DataFrame, least: int = 250) -> DataFrame:
+    """The rows of models with enough reviews: what the statistics are taken over."""
+    return merged.join(complete_models(merged, least).filter("status = 'ok'").select("model"), "model", "left_semi")
+
+
+def matrix_from_json(column: str) -> Column:
+    """The matrix that `class_metrics` writes, as arrays: rows by truth."""
+    return F.from_json(column, "array<array<bigint>>")
+
+
 def condition_means(merged: DataFrame) -> DataFrame:
     named = merged.filter(F.col("condition").isin(NAMED))
     sem = F.stddev_samp("score") / F.sqrt(F.count("score"))

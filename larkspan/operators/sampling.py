@@ -44,3 +44,12 @@ def annotation_sheet(df: DataFrame, k: int, seed: str) -> DataFrame:
     picked = df.withColumn("_rn", rn).filter(F.col("_rn") <= k).join(F.broadcast(proportional(df, k).select("source", "stars", "take")), ["source", "stars"]).filter("_rn <= take")
     blank = {c: F.lit("") for c in ("annotator1_label", "annotator2_label", "notes")}
     return numbered(picked.select("review_id", "text").withColumns(blank), F.col("review_id"), "seq", seed)
+
+
+def label_totals(selected: DataFrame) -> DataFrame:
+    return selected.groupBy("sentiment_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def preview(df: DataFrame, key: str, n: int = 10, seed: str = "42") -> DataFrame:
+    """`n` rows in an order that only the seed and the key decide."""
+    return df.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key).limit(n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
@@ -66,7 +67,19 @@ def run(prompts: DataFrame, log: DataFrame, scorer: str = "mock", runs: int = 1,
     todo = pending(wanted_calls(prompts, runs), log, retry_errors)
     if max_calls:
         todo = todo.orderBy("prompt_id", "run_index").limit(max_calls)
-    return SCORERS[scorer](todo)
+    return SCORERS[scorer](todo).withColumn("queried_at_utc", utc_now())
+
+
+def utc_now() -> Column:
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def call_stats(calls: DataFrame, log: DataFrame, max_calls: int = 0) -> DataFrame:
+    """n_skipped (done before), n_calls (of this run), stopped_early (the cap left some)."""
+    left = pending(calls, log).agg(F.count(F.lit(1)).alias("left"))
+    both = calls.agg(F.count(F.lit(1)).alias("all")).join(F.broadcast(left))  # one row
+    n = F.least("left", F.lit(max_calls)) if max_calls else F.col("left")
+    return both.select((F.col("all") - F.col("left")).alias("n_skipped"), n.alias("n_calls"), (n < F.col("left")).alias("stopped_early"))
 
 
 def run_stats(calls: DataFrame, log: DataFrame) -> DataFrame:
@@ -109,6 +122,41 @@ def call_with_retry(send: Callable[[str], tuple[int, str]], text: str, tries: in
     return "", error
 
 
+def key_from(environment: dict[str, str], name: str) -> str:
+    """The key of a service; a missing one is an error before any call."""
+    if not environment.get(name):
+        raise ValueError(f"the scorer needs {name}")
+    return environment[name]
+
+
+def answer_of(body: str, path: list[str | int]) -> tuple[str, str]:
+    """(text, error) of a service's JSON answer, the text at `path`."""
+    try:
+        found = json.loads(body)
+        for step in path:
+            found = found[step]
+    except (ValueError, KeyError, IndexError, TypeError) as e:
+        return "", f"malformed answer: {type(e).__name__}"
+    return (found, "") if isinstance(found, str) else ("", "malformed answer: no text")
+
+
+def likelihood_scorer(token_log_probs: Callable[[list[str], str], list[list[float]]], labels: dict[str, str] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A scorer by the mean log-probability of each label's tokens after the prompt; `token_log_probs` takes prompts and a label string, three passes a batch.  `labels` overrides the strings."""
+    strings = {x: x for x in LABELS} | (labels or {})
+
+    def score(df: DataFrame) -> DataFrame:
+        def ask(batches):
+            for pdf in batches:
+                yield pdf.assign(**{f"_lp_{x}": token_log_probs(pdf["prompt_text"].tolist(), strings[x]) for x in LABELS})
+
+        schema = ", ".join([*(f"{c} {t}" for c, t in df.dtypes), *(f"_lp_{x} array<double>" for x in LABELS)])
+        probs, label = softmax_labels([mean_log_prob(F.col(f"_lp_{x}")) for x in LABELS])
+        out = df.mapInPandas(ask, schema)
+        return out.withColumns({f"prob_{x}": p for x, p in zip(LABELS, probs, strict=True)} | {"predicted_label": label, "error": F.lit("")}).drop(*(f"_lp_{x}" for x in LABELS))
+
+    return score
+
+
 def remote_scorer(send: Callable[[str], tuple[int, str]], per_minute: float) -> Callable[[DataFrame], DataFrame]:
     """A scorer that asks a service, one partition at a time so that the limit holds."""
 

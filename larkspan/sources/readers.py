@@ -15,12 +15,23 @@ ID_COLUMNS = ["review_id", "id", "reviewID"]
 CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
-def read_records(spark: SparkSession, path: str, schema: StructType | str | None = None, array: bool = False) -> DataFrame:
-    """A JSON (lines, or one `array`), CSV or Parquet source by its suffix; malformed JSON lines are dropped."""
+def starts_array(spark: SparkSession, path: str) -> bool:
+    """Whether the first line of a JSON source that isn't blank begins with a bracket."""
+    head = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    return bool(head) and head[0][0].lstrip().startswith("[")
+
+
+def read_terms(spark: SparkSession, path: str) -> list[str]:
+    """A block or allow list, one term a line (a list that fits a pattern)."""
+    return [r[0] for r in spark.read.text(path).select(F.trim("value").alias("t")).filter("t <> ''").collect()]
+
+
+def read_records(spark: SparkSession, path: str, schema: StructType | str | None = None, array: bool | None = None) -> DataFrame:
+    """A JSON (lines, or one `array`: None to look), CSV or Parquet source by its suffix; malformed JSON lines are dropped."""
     suffix = path.rstrip("/").lower().rpartition(".")[2]
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if suffix in ("json", "jsonl", "ndjson"):
-        return reader.option("multiLine", array).option("mode", "DROPMALFORMED").json(path)
+        return reader.option("multiLine", starts_array(spark, path) if array is None else array).option("mode", "DROPMALFORMED").json(path)
     if suffix == "csv":
         return reader.options(**CSV).csv(path)
     if suffix == "parquet":
