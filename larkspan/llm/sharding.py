@@ -1,15 +1,17 @@
 r"""Sharding over fixed virtual slots (operator 9).
 
 A document's id hashes to one of SLOTS virtual slots, once and for all.  A
-versioned map gives each slot a shard; growing or rebalancing edits the map, so
-only the rows of edited slots move.  The map of n shards depends on n alone: it
-is n - 1 grow edits of the map of one shard.  Rows are numbered inside their slot
+versioned map, stored as Parquet, gives each slot a shard; growing or rebalancing
+stores a new version with some slots edited, so only the rows of those move.  The
+first map of n shards depends on n alone: it is n - 1 grow edits of the map of one
+shard.  Rows are numbered inside their slot
 and the slots' row counts give each slot its first number, so no task holds a
 shard.
 
 Defined cases: a null text has no bytes; a null doc_id hashes as the empty
 string; repeated rows stay together and are numbered in turn; an empty table
-gives no rows; other columns are not read by `assign`.
+gives no rows; other columns are not read by `assign`, and `write_shards` passes
+them through: where the input has a column `shard`, the folders are named `_shard=N`.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspan.llm.lineage import saved
+from larkspan.llm.columns import free
+from larkspan.llm.lineage import new_path, saved
 
 SLOTS, SHARDS = 4096, 16
 
@@ -78,30 +81,56 @@ def slot_bytes(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return docs.groupBy(slot_of(F.col("doc_id"), slots).alias("virtual_slot")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(size).alias("n_bytes"))
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot (the place in the shard, from 0), grown_shard, virtual_slot, slot_bytes, version."""
+def store_map(spark: SparkSession, path: str, slot_map: list[int], version: int) -> None:
+    """Adds a version to the maps under `path`; one that is there is never rewritten."""
+    slot_table(spark, {version: slot_map}).drop("version").coalesce(1).write.parquet(f"{path}/version={version}")
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]]:
+    """(version, map) of one version, the latest by default; a map has one row per slot."""
+    maps = spark.read.schema("virtual_slot long, shard int, version int").parquet(path)
+    version = version if version is not None else maps.agg(F.max("version")).first()[0]
+    return version, [r.shard for r in maps.filter(F.col("version") == version).orderBy("virtual_slot").collect()]
+
+
+def rebalance(docs: DataFrame, path: str, tolerance: float = 0.02) -> int:
+    """Stores and names the version after the latest under `path` with slots moved so that the bytes of `docs` are even."""
+    spark = docs.sparkSession
+    version, now = load_map(spark, path)
+    size = {r.virtual_slot: r.n_bytes for r in slot_bytes(docs, len(now)).collect()}  # one row per slot at most
+    store_map(spark, path, rebalanced(now, [size.get(s, 0) for s in range(len(now))], tolerance), version + 1)
+    return version + 1
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot (the place in the shard, from 0), grown_shard, virtual_slot, slot_bytes, version.  With `maps` by the latest map stored there, else by the map of `shards`."""
     spark = docs.sparkSession
+    version, now = load_map(spark, maps) if maps else (shards, map_of(shards, slots))
+    slots = len(now)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = saved(docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(F.col("doc_id"), slots).alias("virtual_slot")))
-    now = map_of(shards, slots)
-    both = slot_table(spark, {shards: now, shards + 1: grown(now)}).groupBy("virtual_slot").agg(F.min(F.when(F.col("version") == shards, F.col("shard"))).alias("shard"), F.min(F.when(F.col("version") > shards, F.col("shard"))).alias("grown_shard"))
+    both = slot_table(spark, {0: now, 1: grown(now)}).groupBy("virtual_slot").agg(F.min(F.when(F.col("version") == 0, F.col("shard"))).alias("shard"), F.min(F.when(F.col("version") > 0, F.col("shard"))).alias("grown_shard"))
     filled = rows.groupBy("virtual_slot").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("slot_bytes"))
     before = F.sum("n_rows").over(Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1))
     table = both.join(F.broadcast(filled), "virtual_slot").withColumn("first", F.coalesce(before, F.lit(0))).drop("n_rows")  # at most `slots` rows
     nth = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
     return rows.withColumn("nth", nth).join(F.broadcast(table), "virtual_slot").select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("nth")).alias("slot"), "grown_shard", "virtual_slot", "slot_bytes", F.lit(shards).alias("version")
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("nth")).alias("slot"), "grown_shard", "virtual_slot", "slot_bytes", F.lit(version).alias("version")
     )
 
 
-def write_shards(docs: DataFrame, path: str, slot_map: list[int], slots: int = SLOTS) -> None:
+def write_shards(docs: DataFrame, path: str, slot_map: list[int]) -> None:
     """`docs` as Parquet under path/shard=N, a file or more for each group of slots."""
-    table = slot_table(docs.sparkSession, {1: slot_map}).select(F.col("virtual_slot").alias("_vslot"), "shard")
-    docs.withColumn("_vslot", slot_of(F.col("doc_id"), slots)).join(F.broadcast(table), "_vslot").repartition("_vslot").drop("_vslot").write.partitionBy("shard").parquet(path)
+    slot, shard = free(docs, "_vslot"), free(docs, "shard")
+    table = slot_table(docs.sparkSession, {1: slot_map}).select(F.col("virtual_slot").alias(slot), F.col("shard").alias(shard))
+    # one row per slot
+    docs.withColumn(slot, slot_of(F.col("doc_id"), len(slot_map))).join(F.broadcast(table), slot).repartition(slot).drop(slot).write.partitionBy(shard).parquet(path)
 
 
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    maps = new_path(spark)
+    store_map(spark, maps, map_of(SHARDS), SHARDS)
+    return assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), maps=maps)
 
 
 def _map_sql() -> str:
