@@ -68,13 +68,23 @@ def tost(intervals: DataFrame, sd: Column, sesoi: float = 0.2) -> DataFrame:
     return intervals.withColumns({"sesoi_raw": raw, "verdict": verdict})
 
 
-def holm(p_values: DataFrame) -> DataFrame:
-    """term, p, p_holm: step-down adjustment of a family of tests (a handful of rows)."""
-    order = Window.orderBy("p", "term")
-    ranked = p_values.withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy()))
+def holm(p_values: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Adds p_holm to (term, p): step-down adjustment of a family of tests (a handful of rows), or of one for each value of `by`."""
+    family = Window.partitionBy(*(by or []))
+    order = family.orderBy("p", "term")
+    ranked = p_values.withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count(F.lit(1)).over(family))
     return ranked.withColumn("p_holm", F.least(F.lit(1.0), F.max((F.col("_m") - F.col("_r") + 1) * F.col("p")).over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("_r", "_m")
 
 
+#: The two contrasts whose p-values are adjusted together.
+PRIMARY = ["region[south_asian]", "gender[female]"]
+
+
+def primary_contrasts(terms: DataFrame) -> DataFrame:
+    """model, term, p, p_holm of the primary contrasts of each model; `terms` has their p_value."""
+    return holm(terms.filter(F.col("term").isin(PRIMARY)).select("model", "term", F.col("p_value").alias("p")), ["model"])
+
+
 def mixed_model_balanced(merged: DataFrame) -> DataFrame:
     """term, coef, se, z, and the variances of a random-intercept model of region x gender, in closed form over reviews with all four cells; reference levels western and male."""
     cell = lambda r, g: F.avg(F.when((F.col("region") == r) & (F.col("gender") == g), F.col("score")))

@@ -111,6 +111,14 @@ SELECT n, round(raw, 9) AS raw_agreement, round(CASE WHEN chance = 0 THEN 1 ELSE
 _QUOTA = ", ".join(f"({s}, {q})" for s, q in QUOTAS.items())
 _LOC = ", ".join(f"({_q(r)}, {_q(x)})" for r, xs in LOCATIONS.items() for x in xs)
 _E = [f"list_transform(embedding[{1 + 3 * i} : {2 + 4 * i}], lambda x: -abs(CAST(x AS DOUBLE)))" for i in range(3)]
+_LMM = f"""WITH {RESPONSES}, w AS (SELECT model, review_id, {", ".join(f"avg(score) FILTER (condition = '{c}') AS c{i}" for i, c in enumerate(NAMED))} FROM named GROUP BY ALL HAVING count(DISTINCT condition) = 4
+), s AS (SELECT model, count(*) AS n, {", ".join(f"avg(c{i}) AS a{i}" for i in range(4))}, ({" + ".join(f"var_samp(c{i})" for i in range(4))}) * (count(*) - 1) AS wi, 4 * var_samp((c0 + c1 + c2 + c3) / 4) * (count(*) - 1) AS re FROM w GROUP BY model
+), v AS (SELECT *, (wi - re) / (3 * (n - 1)) AS e, (re / (n - 1) - (wi - re) / (3 * (n - 1))) / 4 AS u FROM s
+), f AS (SELECT *, CASE WHEN u < 0 THEN wi / (4 * n - 4) ELSE e END AS s2e, greatest(u, 0) AS s2u FROM v
+), t AS (SELECT model, n, s2e, s2u, unnest([{{'term': 'intercept', 'coef': a0, 'var': (s2e + s2u) / n}}, {{'term': 'region[south_asian]', 'coef': a2 - a0, 'var': 2 * s2e / n}}, {{'term': 'gender[female]', 'coef': a1 - a0, 'var': 2 * s2e / n}}, {{'term': 'region[south_asian]:gender[female]', 'coef': a3 - a2 - a1 + a0, 'var': 4 * s2e / n}}], recursive := true) FROM f)"""
+#: Two-sided normal tail of coef / sqrt(var), by the series erf(x) = exp(-x^2) * sum of x^(2n+1) / gamma(n + 3/2).
+_X = "greatest(abs(coef / sqrt(var)) / sqrt(2), 1e-300)"
+_TAIL = f"greatest(0.0, 1 - list_sum(list_transform(range(2000), lambda n: exp((2 * n + 1) * ln({_X}) - {_X} * {_X} - lgamma(n + 1.5)))))"
 
 SQL = {
     "text_profile": f"WITH {REVIEWS} SELECT doc_id, n_words, round(ascii_ratio, 9) AS ascii_ratio, CAST(length(text) AS INTEGER) AS n_chars, n_tokens, round(stop_ratio, 9) AS stop_ratio, dedup_key FROM reviews",
@@ -152,13 +160,9 @@ SELECT m.model, g.subset, count(flip) AS n_reviews, coalesce(sum(flip), 0)::BIGI
 ), reps AS (SELECT condition, b, sum(ok) / sum(n_rows) AS d FROM drawn JOIN numbered USING (condition, pick) GROUP BY ALL)
 SELECT condition, round(quantile_cont(d, 0.025), 9) AS ci95_lo, round(quantile_cont(d, 0.975), 9) AS ci95_hi FROM reps GROUP BY condition""",
     "tost": _boot("region", "western", "south_asian", "42") + ", sd AS (SELECT 0.2 * stddev_samp(score) AS r FROM named) SELECT ci90_lo, ci90_hi, ci95_lo, ci95_hi, round(r, 9) AS sesoi_raw, CASE WHEN ci90_lo > -r AND ci90_hi < r THEN 'equivalent' WHEN ci95_lo > 0 OR ci95_hi < 0 THEN 'significant' ELSE 'inconclusive' END AS verdict FROM ci, sd",
-    "holm": "WITH p(term, p) AS (VALUES ('a', 0.01::DOUBLE), ('b', 0.02), ('c', 0.03), ('d', 0.5)) SELECT term, p, round(least(1.0, max(p * (5 - r)) OVER (ORDER BY r)), 9) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p) AS r FROM p)",
-    "lmm_region": f"""WITH {RESPONSES}, w AS (SELECT model, review_id, {", ".join(f"avg(score) FILTER (condition = '{c}') AS c{i}" for i, c in enumerate(NAMED))} FROM named GROUP BY ALL HAVING count(DISTINCT condition) = 4
-), s AS (SELECT model, count(*) AS n, {", ".join(f"avg(c{i}) AS a{i}" for i in range(4))}, ({" + ".join(f"var_samp(c{i})" for i in range(4))}) * (count(*) - 1) AS wi, 4 * var_samp((c0 + c1 + c2 + c3) / 4) * (count(*) - 1) AS re FROM w GROUP BY model
-), v AS (SELECT *, (wi - re) / (3 * (n - 1)) AS e, (re / (n - 1) - (wi - re) / (3 * (n - 1))) / 4 AS u FROM s
-), f AS (SELECT *, CASE WHEN u < 0 THEN wi / (4 * n - 4) ELSE e END AS s2e, greatest(u, 0) AS s2u FROM v
-), t AS (SELECT model, n, s2e, s2u, unnest([{{'term': 'intercept', 'coef': a0, 'var': (s2e + s2u) / n}}, {{'term': 'region[south_asian]', 'coef': a2 - a0, 'var': 2 * s2e / n}}, {{'term': 'gender[female]', 'coef': a1 - a0, 'var': 2 * s2e / n}}, {{'term': 'region[south_asian]:gender[female]', 'coef': a3 - a2 - a1 + a0, 'var': 4 * s2e / n}}], recursive := true) FROM f)
-SELECT model, term, n AS n_groups, round(coef, 9) AS coef, round(sqrt(var), 9) AS se, round(coef / sqrt(var), 9) AS z, round(s2e, 9) AS residual_var, round(s2u, 9) AS intercept_var FROM t""",
+    "lmm_region": _LMM + " SELECT model, term, n AS n_groups, round(coef, 9) AS coef, round(sqrt(var), 9) AS se, round(coef / sqrt(var), 9) AS z, round(s2e, 9) AS residual_var, round(s2u, 9) AS intercept_var FROM t",
+    "lmm_terms": _LMM + f" SELECT model, term, n AS n_groups, round(coef, 9) AS coef, round(sqrt(var), 9) AS se, round(coef / sqrt(var), 9) AS z, round(s2e, 9) AS residual_var, round(s2u, 9) AS intercept_var, round({_TAIL}, 9) AS p_value, round(coef - 1.959963984540054 * sqrt(var), 9) AS ci95_lo, round(coef + 1.959963984540054 * sqrt(var), 9) AS ci95_hi FROM t",
+    "holm": _LMM + f", p AS (SELECT model, term, {_TAIL} AS p FROM t WHERE term IN ('region[south_asian]', 'gender[female]')), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY p, term) AS r, count(*) OVER (PARTITION BY model) AS m FROM p) SELECT model, term, round(p, 9) AS p, round(least(1.0, max(p * (m + 1 - r)) OVER (PARTITION BY model ORDER BY r)), 9) AS p_holm FROM r",
     "kappa": _kappa(False),
     "kappa_weighted": _kappa(True),
     "kappa_ci": f"""WITH {RATERS}, clusters AS (SELECT id AS cluster, a, b FROM raters), {_draws(2000, "42", "a DESC, b DESC").replace("SELECT b, (", "SELECT r, (").replace("AS b)", "AS r)").replace(":' || b ||", ":' || r ||")}, cells AS (SELECT r, a, b, count(*) AS c FROM drawn JOIN numbered USING (pick) GROUP BY ALL

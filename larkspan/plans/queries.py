@@ -206,9 +206,12 @@ def tost(spark, sf_dir):
     return t.select(*(R9(c).alias(c) for c in ("ci90_lo", "ci90_hi", "ci95_lo", "ci95_hi", "sesoi_raw")), "verdict")
 
 
+def _with_p(spark, sf_dir):
+    return inference.with_p(inference.mixed_model_balanced(merged(spark, sf_dir)))
+
+
 def holm(spark, sf_dir):
-    rows = [("a", 0.01), ("b", 0.02), ("c", 0.03), ("d", 0.5)]
-    return inference.holm(spark.createDataFrame(rows, "term string, p double")).withColumn("p_holm", R9("p_holm"))
+    return inference.primary_contrasts(_with_p(spark, sf_dir)).select("model", "term", R9("p").alias("p"), R9("p_holm").alias("p_holm"))
 
 
 def lmm_region(spark, sf_dir):
@@ -217,7 +220,8 @@ def lmm_region(spark, sf_dir):
 
 
 def lmm_terms(spark, sf_dir):
-    return inference.with_p(inference.mixed_model_balanced(merged(spark, sf_dir)))
+    t = _with_p(spark, sf_dir)
+    return t.select("model", "term", "n_groups", *(R9(c).alias(c) for c in ("coef", "se", "z", "residual_var", "intercept_var", "p_value", "ci95_lo", "ci95_hi")))
 
 
 def lmm_subregion(spark, sf_dir):

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 #: Column names looked for, in order: fixed values.
 TEXT_COLUMNS = ["text", "review_text", "reviewText", "review", "content", "body"]
@@ -50,11 +51,26 @@ def detect_column(columns: list[str], candidates: list[str], override: str | Non
     return found
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """`df`, read from files, with `_place`: the row's number from 1 by file and position, however the files are split.
+
+    Rows are numbered inside each split; the splits' counts (one row a split) give each its first number.
+    """
+    meta = F.col("_metadata")
+    split = df.select("*", meta["file_path"].alias("_file"), meta["file_block_start"].alias("_from"), F.monotonically_increasing_id().alias("_at"))
+    counts = split.groupBy("_file", "_from").count()
+    before = counts.select("_file", "_from", (F.sum("count").over(Window.orderBy("_file", "_from")) - F.col("count")).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_file", "_from").orderBy("_at"))
+    return split.withColumn("_nth", nth).join(F.broadcast(before), ["_file", "_from"]).withColumn("_place", F.col("_before") + F.col("_nth")).drop("_file", "_from", "_at", "_before", "_nth")
+
+
 def reviews_from(df: DataFrame, text: str | None = None, rating: str | None = None, ident: str | None = None) -> DataFrame:
-    """source_review_id, raw_rating, raw_text by detected columns; without an id column rows are numbered `row<N>`."""
+    """source_review_id, raw_rating, raw_text by detected columns; where there is no id, `row<N>` by the row's place in its source, from 1 (`df` read from files)."""
     own = ident if ident in df.columns else next((c for c in ID_COLUMNS if c in df.columns), None)
-    key = F.col(own).cast("string") if own else F.concat(F.lit("row"), F.monotonically_increasing_id())
-    return df.select(key.alias("source_review_id"), F.col(detect_column(df.columns, RATING_COLUMNS, rating, "rating")).cast("string").alias("raw_rating"), F.col(detect_column(df.columns, TEXT_COLUMNS, text)).alias("raw_text"))
+    number = F.concat(F.lit("row"), F.col("_place"))
+    given = F.nullif(F.col(own).cast("string"), F.lit("")) if own else None
+    key = F.coalesce(given, number) if own else number
+    return placed(df).select(key.alias("source_review_id"), F.col(detect_column(df.columns, RATING_COLUMNS, rating, "rating")).cast("string").alias("raw_rating"), F.col(detect_column(df.columns, TEXT_COLUMNS, text)).alias("raw_text"))
 
 
 def tagged_union(sources: list[tuple[str, DataFrame]]) -> DataFrame:

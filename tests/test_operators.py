@@ -1,5 +1,6 @@
 """Operators around the analysis table: recovery of known effects, agreement, scorers and readers."""
 
+import json
 import math
 
 import numpy as np
@@ -139,3 +140,22 @@ def test_json_arrays_and_term_files(spark, tmp_path):
         assert sorted(r.text for r in readers.read_records(spark, str(tmp_path / name), "text string").collect()) == ["x", "y"]
     (tmp_path / "t.txt").write_text("one\n\n two-three \n")
     assert readers.read_terms(spark, str(tmp_path / "t.txt")) == ["one", "two-three"]
+
+
+def test_primary_contrasts_are_families_of_two(spark):
+    terms = spark.createDataFrame([(m, t, p) for m, ps in (("x", (0.01, 0.04)), ("y", (0.6, 0.5))) for t, p in zip(inference.PRIMARY, ps, strict=True)] + [("x", "intercept", 0.0)], "model string, term string, p_value double")
+    got = {(r.model, r.term): round(r.p_holm, 9) for r in inference.primary_contrasts(terms).collect()}
+    region, gender = inference.PRIMARY
+    assert got == {("x", region): 0.02, ("x", gender): 0.04, ("y", region): 1.0, ("y", gender): 1.0}
+
+
+def test_rows_without_an_id_are_numbered_by_place(spark, tmp_path):
+    """The same numbers however the file is split; an id that is there stays."""
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"text": "t{i}", "stars": 3, "id": {json.dumps("own" if i == 7 else "")}}}\n' for i in range(1, 301)))
+    want = {f"t{i}": "own" if i == 7 else f"row{i}" for i in range(1, 301)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (before, "1500b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = readers.read_records(spark, str(tmp_path / "a.jsonl"), "text string, stars int, id string")
+        assert {r.raw_text: r.source_review_id for r in readers.reviews_from(rows).collect()} == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
