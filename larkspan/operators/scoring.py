@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.functions.text import LABELS, label_in, md5_mod
+from larkspan.functions.text import LABELS, hex_mods, label_in
 
 #: Base of the pseudo-scorer's softmax: fixed value.
 BASE = 2.718281828
@@ -34,15 +34,28 @@ def mean_log_prob(tokens: Column) -> Column:
 
 def mock_scores(df: DataFrame, text: Column, bias: list[Column] | None = None, fail_rate: float = 0.0) -> DataFrame:
     """Adds predicted_label, prob_* and error by the hash of a text; `bias` is added to the three logits."""
-    logits = [md5_mod(text, 100, 2 * i) / 100 for i in range(3)]
+    # a column for each step: a text is hashed once, however many expressions use its hash
+    steps = df.withColumn("_digest", F.md5(text))
+    steps = steps.withColumns({f"_logit{i}": x for i, x in enumerate(hex_mods(F.col("_digest"), 100, [0, 2, 4]))})
+    logits = [F.col(f"_logit{i}") / 100 for i in range(3)]
     logits = [x + b for x, b in zip(logits, bias, strict=True)] if bias else logits
-    powers = [F.pow(F.lit(BASE), x) for x in logits]
+    steps = steps.withColumns({f"_power{i}": F.pow(F.lit(BASE), x) for i, x in enumerate(logits)})
+    powers = [F.col(f"_power{i}") for i in range(3)]
     probs = [p / (powers[0] + powers[1] + powers[2]) for p in powers]
-    failed = md5_mod(text, 1000) / 1000 < fail_rate
-    out = df.withColumns({f"prob_{x}": F.when(~failed, p) for x, p in zip(LABELS, probs, strict=True)} | {"error": F.when(failed, "simulated failure").otherwise("")})
+    failed = hex_mods(F.col("_digest"), 1000, [0])[0] / 1000 < fail_rate if fail_rate > 0 else F.lit(False)
+    out = steps.withColumns({f"prob_{x}": F.when(~failed, p) for x, p in zip(LABELS, probs, strict=True)} | {"error": F.when(failed, "simulated failure").otherwise("")})
     # without a bias the logits decide, free of rounding
-    label = _first_max(logits if not bias else [F.col(f"prob_{x}") for x in LABELS])
-    return out.withColumn("predicted_label", F.when(F.col("error") == "", label).otherwise(F.lit("")))
+    label = _first_max([F.col(f"_logit{i}") for i in range(3)] if not bias else [F.col(f"prob_{x}") for x in LABELS])
+    return out.withColumn("predicted_label", F.when(F.col("error") == "", label).otherwise(F.lit(""))).drop("_digest", *(f"_{c}{i}" for c in ("logit", "power") for i in range(3)))
+
+
+def mock_runs(df: DataFrame, text: str, runs: int, **options) -> DataFrame:
+    """Adds `runs`, the label and error of every run of a prompt by the hash of its text and the run's number: the calls of a prompt stay in its row."""
+    out = df
+    for i in range(1, runs + 1):
+        one = mock_scores(out, F.concat_ws(":", text, F.lit(str(i))), **options)
+        out = one.select(*out.columns, F.struct(F.lit(i).alias("run_index"), "predicted_label", "error").alias(f"_run{i}"))
+    return out.select(*df.columns, F.array(*(f"_run{i}" for i in range(1, runs + 1))).alias("runs"))
 
 
 SCORERS: dict[str, Callable[[DataFrame], DataFrame]] = {"mock": lambda df: mock_scores(df, F.col("prompt_text"))}
