@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from larkspan.functions.numbering import numbered
 from larkspan.functions.text import condition_parts
@@ -28,22 +27,24 @@ def pool_table(spark: SparkSession, names: dict[str, list[tuple[str, str]]] = NA
     return spark.createDataFrame([(c, i, n, s) for c, pool in names.items() for i, (n, s) in enumerate(pool)], "condition string, pos int, name string, sub_region string")
 
 
-def _assigned(items: DataFrame, pool: DataFrame, group: str, value: list[str], seed: str) -> DataFrame:
-    """`items` (review_id, group) with `value` of the pool: every block of as many items as names takes each name once, in an order of its own per group and block."""
-    sizes = pool.groupBy(group).agg(F.count(F.lit(1)).alias("_k"))
-    placed = items.join(F.broadcast(sizes), group, "left").withColumn("_block", F.floor(F.col("_i") / F.col("_k"))).withColumn("_slot", (F.col("_i") % F.col("_k")).cast("int"))
-    last = placed.groupBy(group).agg(F.max("_block").alias("_last"))
-    blocks = pool.join(F.broadcast(last), group).select(group, *value, F.explode(F.sequence(F.lit(0).cast("long"), "_last")).alias("_block"))
-    order = F.md5(F.concat_ws(":", F.lit(seed), group, F.col("_block").cast("string"), value[0]))
-    ranked = blocks.withColumn("_slot", F.row_number().over(Window.partitionBy(group, "_block").orderBy(order, value[0])) - 1)
-    return placed.join(ranked, [group, "_block", "_slot"], "left").drop("_block", "_slot", "_k", "_i")
+def n_named() -> Column:
+    """How many of the named conditions the rows of a group have: a bit each, so that the rows fold before any exchange."""
+    return F.bit_count(F.bit_or(F.coalesce(*(F.when(F.col("condition") == c, 1 << i) for i, c in enumerate(NAMED)), F.lit(0))))
+
+
+def _placed(number: Column, group: str, pool: list[tuple], seed: str) -> Column:
+    """The row of `pool` that item `number` gets: every block of as many items as rows takes each once, in an order of its own per group and block, by md5 of seed, group, block and the row's first value.  Needs no other row."""
+    block = F.floor(number / F.lit(len(pool))).cast("string")
+    rows = [F.struct(F.md5(F.concat_ws(":", F.lit(seed), F.lit(group), block, F.lit(r[0]))).alias("h"), *(F.lit(v).alias(f"v{i}") for i, v in enumerate(r))) for r in pool]
+    return F.element_at(F.sort_array(F.array(*rows)), (number % len(pool)).cast("int") + 1)
 
 
 def prompts(reviews: DataFrame, names: dict[str, list[tuple[str, str]]] = NAMES, seed: str = "42") -> DataFrame:
-    """Five rows per review (review_id unique): no name, and a name of each named condition, balanced to a difference of one.  Ids are numbered and assigned alone; texts join last."""
-    pool = pool_table(reviews.sparkSession, names)
-    items = numbered(reviews.select("review_id"), F.col("review_id"), "_i", seed).withColumn("condition", F.explode(F.array(*map(F.lit, CONDITIONS))))
-    named = _assigned(items, pool, "condition", ["name", "sub_region"], seed).join(reviews.select("review_id", "text", "sentiment_label", "source", "stars"), "review_id")
+    """Five rows per review (review_id unique): no name, and a name of each named condition, balanced to a difference of one.  A review is numbered with its text and expanded where it lies: the texts move once, and nothing joins."""
+    items = numbered(reviews.select("review_id", "text", "sentiment_label", "source", "stars"), F.col("review_id"), "_i", seed)
+    none = F.lit(None).cast("struct<h: string, v0: string, v1: string>")
+    arms = [F.struct(F.lit(c).alias("condition"), (_placed(F.col("_i"), c, names[c], seed) if names.get(c) else none).alias("_row")) for c in CONDITIONS]
+    named = items.select("review_id", "text", "sentiment_label", "source", "stars", F.inline(F.array(*arms))).select("*", F.col("_row.v0").alias("name"), F.col("_row.v1").alias("sub_region"))
     region, gender = condition_parts(F.col("condition"))
     none = F.col("condition") == "none"
     name = F.coalesce("name", F.lit(""))
@@ -56,11 +57,10 @@ def prompts(reviews: DataFrame, names: dict[str, list[tuple[str, str]]] = NAMES,
 
 def location_prompts(reviews: DataFrame, locations: dict[str, list[str]] = LOCATIONS, seed: str = "500042") -> DataFrame:
     """Two name-free rows per review, one place of each region."""
-    spark = reviews.sparkSession
-    pool = spark.createDataFrame([(r, x) for r, xs in locations.items() for x in xs], "region string, location string")
-    items = numbered(reviews.select("review_id"), F.col("review_id"), "_i", seed).withColumn("region", F.explode(F.array(*map(F.lit, locations))))
+    items = numbered(reviews.select("review_id", "text", "sentiment_label", "source", "stars"), F.col("review_id"), "_i", seed)
+    arms = [F.struct(F.lit(r).alias("region"), _placed(F.col("_i"), r, [(x,) for x in xs], seed)["v0"].alias("location")) for r, xs in locations.items()]
+    placed = items.select("review_id", "text", "sentiment_label", "source", "stars", F.inline(F.array(*arms)))
     text = F.concat(F.lit("Written in: "), "location", F.lit('\n\nReview: "'), "text", F.lit(ASK))
-    placed = _assigned(items, pool, "region", ["location"], seed).join(reviews.select("review_id", "text", "sentiment_label", "source", "stars"), "review_id")
     return placed.select(F.concat_ws("_", "review_id", F.lit("loc"), "region").alias("prompt_id"), "review_id", F.concat(F.lit("location_"), "region").alias("condition"), "region", "location", text.alias("prompt_text"), "sentiment_label", "source", "stars")
 
 

@@ -42,7 +42,37 @@ def counted(df):
     return df.mapInPandas(look, df.schema), seen
 
 
+def test_a_text_is_hashed_once_a_call(spark):
+    assert len(re.findall(r"md5\(cast\(concat_ws\(:, prompt_text", optimized(queries.merged_long(spark, SF)))) == 3
+    assert len(re.findall(r"md5\(cast\(concat\(CASE", optimized(queries.mock_scores(spark, SF)))) == 1
+
+
 def test_hash_shares_equal_big_integers(spark):
     words = [f"w{i}" for i in range(30)]
     got = spark.createDataFrame([(w,) for w in words], "w string").select(*T.hex_mods(F.md5("w"), 100, [0, 2, 4, 16])).collect()
     assert [tuple(r) for r in got] == [tuple((int(hashlib.md5(w.encode()).hexdigest(), 16) >> 4 * s) % 100 for s in (0, 2, 4, 16)) for w in words]
+
+
+def test_votes_in_the_row_equal_votes_of_a_log(spark, reviews):
+    p = design.prompts(reviews)
+    answered = scoring.mock_runs(p, "prompt_text", 3, fail_rate=0.3).withColumn("model", F.lit("m"))
+    log = answered.select("model", "prompt_id", F.inline("runs"))
+    plain = scoring.mock_scores(scoring.wanted_calls(p, 3), F.concat_ws(":", "prompt_text", F.col("run_index").cast("string")), fail_rate=0.3)
+    assert rows_of(log.select("prompt_id", "run_index", "predicted_label", "error")) == rows_of(plain.select("prompt_id", "run_index", "predicted_label", "error"))
+    assert rows_of(fact.majority(answered).fillna("")) == rows_of(fact.majority(log).fillna(""))
+    one, many = fact.merged_in_place(answered), fact.merged_long(log, p, reviews)
+    assert one.dtypes == many.dtypes and rows_of(one) == rows_of(many) and 400 < one.count() < 500
+    assert rows_of(fact.load_stats(answered, p, reviews)) == rows_of(fact.load_stats(log, p, reviews)) == [("m", 500, 500, 500 - one.count())]
+
+
+def test_names_are_ranked_by_hash_in_every_block(reviews):
+    """The item's number decides block and slot, as in a table of all blocks."""
+    order = sorted((hashlib.md5(f"42R{i:04d}".encode()).hexdigest(), f"R{i:04d}") for i in range(100))
+    want = set()
+    for n, (_, r) in enumerate(order):
+        for c in NAMED:
+            name, sub = sorted(design.NAMES[c], key=lambda x: hashlib.md5(f"42:{c}:{n // 12}:{x[0]}".encode()).hexdigest())[n % 12]
+            want.add((r, c, name, sub))
+    p = design.prompts(reviews)
+    assert {tuple(r) for r in p.filter("condition <> 'none'").select("review_id", "condition", "name", "sub_region").collect()} == want
+    assert "Join" not in optimized(p.select("prompt_id", "name")).replace("Join Inner, (_b", "")
