@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.functions.text import LABELS
-from larkspan.operators.design import NAMED
+from larkspan.operators.design import NAMED, n_named
 
 
 def complete_models(merged: DataFrame, least: int = 250) -> DataFrame:
@@ -34,10 +34,15 @@ def condition_means(merged: DataFrame) -> DataFrame:
 
 
 def contrast(merged: DataFrame, column: str, a: str, b: str) -> DataFrame:
-    """Row-level mean difference a - b, pooled SD over both levels, Cohen's d (null if the SD is 0)."""
+    """Row-level mean difference a - b, pooled SD over both levels, Cohen's d (null if the SD is 0).  Rows fold by review first, so reviews are counted without a copy of the rows."""
     both = merged.filter(F.col("condition").isin(NAMED) & F.col(column).isin(a, b))
-    g = both.groupBy("model").agg(F.countDistinct("review_id").alias("n_clusters"), F.avg(F.when(F.col(column) == a, F.col("score"))).alias("mean_a"), F.avg(F.when(F.col(column) == b, F.col("score"))).alias("mean_b"), F.stddev_samp("score").alias("sd"))
-    return g.withColumn("mean_diff", F.col("mean_a") - F.col("mean_b")).withColumn("cohens_d", F.col("mean_diff") / F.nullif("sd", F.lit(0.0)))
+    score, at = F.col("score"), lambda level, x: F.when(F.col(column) == level, x)
+    per = both.groupBy("model", "review_id").agg(F.sum(at(a, score)).alias("sa"), F.count(at(a, score)).alias("na"), F.sum(at(b, score)).alias("sb"), F.count(at(b, score)).alias("nb"), F.sum(score * score).alias("q"))
+    g = per.groupBy("model").agg(F.count("review_id").alias("n_clusters"), *(F.sum(c).alias(c) for c in ("sa", "na", "sb", "nb", "q")))
+    n, s = F.col("na") + F.col("nb"), (F.coalesce("sa", F.lit(0)) + F.coalesce("sb", F.lit(0))).cast("double")
+    sd = F.when(n > 1, F.sqrt(F.greatest(F.col("q") - s * s / n, F.lit(0.0)) / (n - 1)))
+    m = g.select("model", "n_clusters", F.try_divide("sa", "na").alias("mean_a"), F.try_divide("sb", "nb").alias("mean_b"), sd.alias("sd"))
+    return m.withColumn("mean_diff", F.col("mean_a") - F.col("mean_b")).withColumn("cohens_d", F.col("mean_diff") / F.nullif("sd", F.lit(0.0)))
 
 
 def confusion(merged: DataFrame) -> DataFrame:
@@ -63,15 +68,15 @@ def class_metrics(merged: DataFrame) -> DataFrame:
 
 
 def flip_rate(merged: DataFrame) -> DataFrame:
-    """Per model and subset (overall, ambiguous: three stars, clear_cut): reviews with all named conditions, how many have more than one label, and the share."""
-    per = merged.filter(F.col("condition").isin(NAMED)).groupBy("model", "review_id").agg(F.countDistinct("condition").alias("k"), (F.countDistinct("predicted_label") > 1).cast("int").alias("flip"), F.min_by("stars", "prompt_id").alias("stars"))
-    models = merged.select("model").distinct()
-    full = per.filter(F.col("k") == len(NAMED))
-    sets = F.array(F.lit("overall"), F.when(F.col("stars") == 3, "ambiguous").otherwise("clear_cut"))
-    found = full.withColumn("subset", F.explode(sets)).groupBy("model", "subset").agg(F.count(F.lit(1)).alias("n_reviews"), F.sum("flip").alias("n_flipped"))
-    grid = models.withColumn("subset", F.explode(F.array(*map(F.lit, ["overall", "ambiguous", "clear_cut"]))))
-    out = grid.join(found, ["model", "subset"], "left").select("model", "subset", F.coalesce("n_reviews", F.lit(0)).alias("n_reviews"), F.coalesce("n_flipped", F.lit(0)).alias("n_flipped"))
-    return out.withColumn("flip_rate", F.try_divide("n_flipped", "n_reviews"))
+    """Per model and subset (overall, ambiguous: three stars, clear_cut): reviews with all named conditions, how many have more than one label, and the share.  One reading of `merged`; stars belong to the review."""
+    named = F.col("condition").isin(NAMED)
+    label = F.coalesce(*(F.when(F.col("predicted_label") == x, 1 << i) for i, x in enumerate(LABELS)), F.lit(0))
+    per = merged.groupBy("model", "review_id").agg(n_named().alias("k"), (F.bit_count(F.bit_or(F.when(named, label))) > 1).alias("flip"), F.min(F.when(named, F.col("stars"))).alias("stars"))
+    full, three = F.col("k") == len(NAMED), F.coalesce(F.col("stars") == 3, F.lit(False))
+    sets = {"overall": full, "ambiguous": full & three, "clear_cut": full & ~three}
+    g = per.groupBy("model").agg(*(F.sum(c.cast("long")).alias(f"n_{s}") for s, c in sets.items()), *(F.sum((c & F.col("flip")).cast("long")).alias(f"f_{s}") for s, c in sets.items()))
+    rows = g.select("model", F.inline(F.array(*(F.struct(F.lit(s).alias("subset"), F.col(f"n_{s}").alias("n_reviews"), F.coalesce(f"f_{s}", F.lit(0).cast("long")).alias("n_flipped")) for s in sets))))
+    return rows.withColumn("flip_rate", F.try_divide("n_flipped", "n_reviews"))
 
 
 def self_consistency(merged: DataFrame) -> DataFrame:

@@ -76,3 +76,16 @@ def test_names_are_ranked_by_hash_in_every_block(reviews):
     p = design.prompts(reviews)
     assert {tuple(r) for r in p.filter("condition <> 'none'").select("review_id", "condition", "name", "sub_region").collect()} == want
     assert "Join" not in optimized(p.select("prompt_id", "name")).replace("Join Inner, (_b", "")
+
+
+def test_statistics_of_partial_reviews(spark):
+    """Reviews without some conditions, and a model without a whole one."""
+    scores = {"negative": -1, "neutral": 0, "positive": 1}
+    rows = [("m", f"{r}_{c}", r, c, x, s) for r, c, x, s in [("A", NAMED[0], "positive", 3), ("A", NAMED[1], "neutral", 3), ("A", NAMED[2], "positive", 3), ("A", NAMED[3], "positive", 3), ("A", "none", "negative", 3), ("B", NAMED[0], "negative", 5), ("C", "none", "neutral", 1)]]
+    rows += [("n", "D_none", "D", "none", "neutral", 3)]
+    m = spark.createDataFrame([(*r, scores[r[4]]) for r in rows], "model string, prompt_id string, review_id string, condition string, predicted_label string, stars int, score int").withColumn("region", F.regexp_replace("condition", "_[^_]*$", ""))
+    flips = {(r.model, r.subset): (r.n_reviews, r.n_flipped, r.flip_rate) for r in metrics.flip_rate(m).collect()}
+    assert flips == {("m", "overall"): (1, 1, 1.0), ("m", "ambiguous"): (1, 1, 1.0), ("m", "clear_cut"): (0, 0, None), **{("n", s): (0, 0, None) for s in ("overall", "ambiguous", "clear_cut")}}
+    (c,) = metrics.contrast(m, "region", "western", "south_asian").collect()
+    x = [1, 0, -1, 1, 1]
+    assert (c.n_clusters, c.mean_a, c.mean_b) == (2, 0.0, 1.0) and c.sd == pytest.approx(np.std(x, ddof=1)) and c.cohens_d == pytest.approx(-1 / np.std(x, ddof=1))
