@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 from itertools import accumulate
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larkspan.functions.draws import first_words, kind_counts, picks
 from larkspan.functions.text import LABELS
-from larkspan.operators.design import NAMED
+from larkspan.operators.design import NAMED, n_named
 
 
-BLOCK = 10_000
+#: Draws of one replicate that a call makes.
+BLOCK = 262_144
+#: Draws of a task, a few seconds' work.
+TASK = 30_000_000
+
+
+def kinds_of(clusters: DataFrame, sums: list[str], by: str | None = None) -> list:
+    """The combinations of `sums` (and `by`) with their number of clusters, `_k`: a few dozen rows, collected."""
+    return clusters.groupBy(*([by] if by else []), *sums).agg(F.count(F.lit(1)).alias("_k")).collect()
 
 
 def resampled(clusters: DataFrame, sums: list[str], replicates: int, seed: str, by: str | None = None) -> DataFrame:
@@ -23,40 +32,68 @@ def resampled(clusters: DataFrame, sums: list[str], replicates: int, seed: str,
 
     The sums of a cluster are small whole numbers, so Spark reduces the clusters to
     one row per combination (a few dozen), and a draw takes a combination by its
-    share: no draw meets a table of clusters, and the table is read once.  Draws are
-    made on the executors, in blocks, and counted before the exchange.
+    share: no draw meets a table of clusters, and the table is read once.
     """
-    spark = clusters.sparkSession
-    kinds = clusters.groupBy(*([by] if by else []), *sums).agg(F.count(F.lit(1)).alias("_k")).collect()
-    out = []
+    return redrawn(clusters.sparkSession, kinds_of(clusters, sums, by), sums, replicates, seed, by, dict(clusters.dtypes).get(by))
+
+
+def redrawn(spark: SparkSession, kinds: list, sums: list[str], replicates: int, seed: str, by: str | None = None, by_type: str | None = None) -> DataFrame:
+    """`resampled` from the combinations.  Draws are hashed in blocks on the executors, once for all values of `by`, and only sums leave a block."""
+    schema = ", ".join(["b long", *(f"{s} long" for s in sums), *([f"{by} {by_type}"] if by else [])])
+    groups = []
     for group in sorted({r[by] for r in kinds}) if by else [None]:
-        own = sorted((tuple(r[s] for s in sums), r["_k"]) for r in kinds if not by or r[by] == group)
-        n = sum(k for _, k in own)
-        block = spark.range(replicates).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // BLOCK))).alias("x"))
-        drawn = block.select("b", F.explode(F.sequence(F.col("x") * BLOCK, F.least(F.lit(n - 1), F.col("x") * BLOCK + BLOCK - 1))).alias("i"))
-        pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("b").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long") % n
-        kind = F
-        for j, end in enumerate(accumulate(k for _, k in own)):
-            kind = kind.when(F.col("pick") < end, j)
-        counts = drawn.select("b", pick.alias("pick")).groupBy("b", kind.alias("kind")).agg(F.count(F.lit(1)).alias("k"))
-        table = spark.createDataFrame([(j, *map(int, v)) for j, (v, _) in enumerate(own)], "kind int, " + ", ".join(f"{s} long" for s in sums))
-        total = counts.join(F.broadcast(table), "kind").groupBy("b").agg(*(F.sum(F.col(s) * F.col("k")).alias(s) for s in sums))  # a row per combination
-        out.append(total.withColumn(by, F.lit(group)) if by else total)
-    return reduce(DataFrame.union, out) if out else clusters.select(F.lit(0).cast("long").alias("b"), *sums, *([by] if by else [])).limit(0)
+        own = sorted((tuple(int(r[s]) for s in sums), r["_k"]) for r in kinds if not by or r[by] == group)
+        groups.append((group, list(accumulate(k for _, k in own)), np.array([v for v, _ in own], np.int64)))
+    most = max((ends[-1] for _, ends, _ in groups if ends), default=0)
+    if not most:
+        return spark.createDataFrame([], schema)
+    size = BLOCK
+    blocks = -(-most // size)
+
+    def draw(batches):
+        for units in batches:
+            out = []
+            for unit in units["id"].tolist():
+                b, start = unit // blocks, unit % blocks * size
+                words = first_words(f"{seed}:{b}:", start, min(most, start + size))
+                taken: dict[int, np.ndarray] = {}
+                for group, ends, values in groups:
+                    n = ends[-1]
+                    if n > start:
+                        if n not in taken:
+                            taken = {n: picks(words[: n - start], n)}
+                        out.append((b, *(np.array(kind_counts(taken[n], ends)) @ values).tolist(), *([group] if by else [])))
+            yield pd.DataFrame(out, columns=["b", *sums, *([by] if by else [])])
+
+    tasks = max(32, replicates * most // TASK)
+    units = spark.range(0, replicates * blocks, 1, min(tasks, replicates * blocks))
+    return units.mapInPandas(draw, schema).groupBy("b", *([by] if by else [])).agg(*(F.sum(s).alias(s) for s in sums)).select("b", *sums, *([by] if by else []))
 
 
 def level_sums(merged: DataFrame, column: str, a: str, b: str) -> DataFrame:
     both = merged.filter(F.col("condition").isin(NAMED) & F.col(column).isin(a, b))
     at = lambda level, x: F.sum(F.when(F.col(column) == level, x).otherwise(0))
-    return both.groupBy(F.col("review_id").alias("cluster")).agg(at(a, F.col("score")).alias("sa"), at(a, F.lit(1)).alias("na"), at(b, F.col("score")).alias("sb"), at(b, F.lit(1)).alias("nb"))
+    return both.groupBy(F.col("review_id").alias("cluster")).agg(at(a, F.col("score")).alias("sa"), at(a, F.lit(1)).alias("na"), at(b, F.col("score")).alias("sb"), at(b, F.lit(1)).alias("nb"), F.sum(F.col("score") * F.col("score")).alias("q"))
 
 
 def bootstrap_difference(merged: DataFrame, column: str, a: str, b: str, replicates: int = 2000, seed: str = "42") -> DataFrame:
     """Replicate differences (b, diff) of mean scores a - b, reviews resampled."""
-    sums = resampled(level_sums(merged, column, a, b), ["sa", "na", "sb", "nb"], replicates, seed)
+    return differences(resampled(level_sums(merged, column, a, b), ["sa", "na", "sb", "nb"], replicates, seed))
+
+
+def differences(sums: DataFrame) -> DataFrame:
     return sums.select("b", (F.try_divide("sa", "na") - F.try_divide("sb", "nb")).alias("diff")).filter("diff IS NOT NULL")
 
 
+def difference_with_sd(merged: DataFrame, column: str, a: str, b: str, replicates: int = 2000, seed: str = "42") -> tuple[DataFrame, Column]:
+    """`bootstrap_difference`, and the SD of the scores of both levels (null below two rows), from one reading of `merged`."""
+    sums = ["sa", "na", "sb", "nb", "q"]  # q is last, so the draws are those of the other four
+    kinds = kinds_of(level_sums(merged, column, a, b), sums)
+    n, s, q = (sum(r["_k"] * sum(r[x] for x in xs) for r in kinds) for xs in (("na", "nb"), ("sa", "sb"), ("q",)))
+    sd = math.sqrt((q * n - s * s) / n / (n - 1)) if n > 1 else None
+    return differences(redrawn(merged.sparkSession, kinds, sums, replicates, seed)), F.lit(sd).cast("double")
+
+
 def interval(replicates: DataFrame, value: str = "diff", by: str | None = None) -> DataFrame:
     return replicates.groupBy(*([by] if by else [])).agg(*(F.percentile(value, F.lit(q)).alias(n) for n, q in (("ci95_lo", 0.025), ("ci95_hi", 0.975), ("ci90_lo", 0.05), ("ci90_hi", 0.95))))
 

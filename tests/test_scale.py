@@ -42,6 +42,35 @@ def counted(df):
     return df.mapInPandas(look, df.schema), seen
 
 
+@pytest.mark.parametrize("prefix", ["42:0:", "42:1999:", "s" * 50, "s" * 60, ""])
+def test_array_hashes_equal_hashlib(prefix):
+    for start, stop in ((0, 1200), (99_990, 100_020), (2**32 - 3, 2**32 + 3)):
+        want = [int(hashlib.md5(f"{prefix}{i}".encode()).hexdigest()[:8], 16) for i in range(start, stop)]
+        got = draws.first_words(prefix, start, stop)
+        assert got.tolist() == want and draws.picks(got, 997).tolist() == [w % 997 for w in want]
+    ends = [1, 5, 40, 997]
+    pick = draws.picks(draws.first_words(prefix, 0, 3000), 997)
+    for more in ([], list(range(998, 1070))):  # by comparison, and by search
+        assert draws.kind_counts(pick, ends + more)[:4] == np.histogram(pick, [0, *ends[:-1], 998])[0].tolist()
+
+
+def test_draws_take_clusters_by_hash_in_any_blocks(spark, monkeypatch):
+    """Plain draws of ordered clusters, groups of unequal size; no row is made for a draw."""
+    rows = [("x", i % 3, i % 2) for i in range(50)] + [("y", i % 4, 1) for i in range(23)]
+    clusters = spark.createDataFrame(rows, "g string, s int, n int")
+    want = []
+    for g in ("x", "y"):
+        own = sorted(r[1:] for r in rows if r[0] == g)
+        for b in range(9):
+            taken = [own[int(hashlib.md5(f"42:{b}:{i}".encode()).hexdigest()[:8], 16) % len(own)] for i in range(len(own))]
+            want.append((b, sum(s for s, _ in taken), sum(n for _, n in taken), g))
+    for size in (262_144, 7):
+        monkeypatch.setattr(inference, "BLOCK", size)
+        got = inference.resampled(clusters, ["s", "n"], 9, "42", "g")
+        assert sorted(map(tuple, got.collect())) == sorted(want) and "explode" not in optimized(got)
+    assert inference.resampled(clusters.limit(0), ["s", "n"], 9, "42", "g").count() == 0
+
+
 def test_a_text_is_hashed_once_a_call(spark):
     assert len(re.findall(r"md5\(cast\(concat_ws\(:, prompt_text", optimized(queries.merged_long(spark, SF)))) == 3
     assert len(re.findall(r"md5\(cast\(concat\(CASE", optimized(queries.mock_scores(spark, SF)))) == 1
