@@ -125,7 +125,7 @@ def primary_contrasts(terms: DataFrame) -> DataFrame:
 def mixed_model_balanced(merged: DataFrame) -> DataFrame:
     """term, coef, se, z, and the variances of a random-intercept model of region x gender, in closed form over reviews with all four cells; reference levels western and male."""
     cell = lambda r, g: F.avg(F.when((F.col("region") == r) & (F.col("gender") == g), F.col("score")))
-    wide = merged.filter(F.col("condition").isin(NAMED)).groupBy("model", "review_id").agg(cell("western", "male").alias("wm"), cell("western", "female").alias("wf"), cell("south_asian", "male").alias("sm"), cell("south_asian", "female").alias("sf"), F.countDistinct("condition").alias("k")).filter("k = 4")
+    wide = merged.filter(F.col("condition").isin(NAMED)).groupBy("model", "review_id").agg(cell("western", "male").alias("wm"), cell("western", "female").alias("wf"), cell("south_asian", "male").alias("sm"), cell("south_asian", "female").alias("sf"), n_named().alias("k")).filter("k = 4")
     cells = ["wm", "wf", "sm", "sf"]
     mean = (F.col("wm") + F.col("wf") + F.col("sm") + F.col("sf")) / 4
     stats = wide.withColumn("m", mean).groupBy("model").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"a_{c}") for c in cells), *(F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in cells), F.sum(F.col("m") * F.col("m")).alias("qm"), F.avg("m").alias("am"))

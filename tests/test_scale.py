@@ -82,6 +82,13 @@ def test_hash_shares_equal_big_integers(spark):
     assert [tuple(r) for r in got] == [tuple((int(hashlib.md5(w.encode()).hexdigest(), 16) >> 4 * s) % 100 for s in (0, 2, 4, 16)) for w in words]
 
 
+@pytest.mark.parametrize("name", ["merged_long", "majority_vote", "condition_means", "self_consistency", "class_metrics", "confusion", "flip_rate", "contrast_region", "contrast_gender", "lmm_region", "lmm_terms", "holm", "mock_scores"])
+def test_documents_are_read_for_texts_and_for_counts_alone(spark, name):
+    """Two scans, one of them without texts; rows aren't copied for a distinct count."""
+    plan = optimized(queries.QUERIES[name](spark, SF))
+    assert plan.count("Relation [") == 2 and plan.count("regexp_replace") == 1 and "Expand [" not in plan
+
+
 def test_votes_in_the_row_equal_votes_of_a_log(spark, reviews):
     p = design.prompts(reviews)
     answered = scoring.mock_runs(p, "prompt_text", 3, fail_rate=0.3).withColumn("model", F.lit("m"))
