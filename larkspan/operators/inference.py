@@ -187,19 +187,27 @@ def reml(xtx: np.ndarray, xty: np.ndarray, yty: float, groups: list[tuple[int, i
 def mixed_model_subregion(merged: DataFrame, region: str = "south_asian", reference: str = "India") -> DataFrame:
     """term, coef, se, z, p_value, interval and variances of sub_region x gender within one region.
 
-    Spark reduces the rows to one per cell and one per design pattern of a review
-    (both bounded by the sub-regions); the driver searches one variance ratio.
+    Spark reads the rows once and reduces them to one per pattern of a review's
+    sub-regions, genders and scores (bounded by the sub-regions and labels); the
+    driver searches one variance ratio.
     """
     spark = merged.sparkSession
     rows = merged.filter(F.col("region") == region)
     out = []
-    cells = rows.groupBy("model", "sub_region", "gender").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("q")).collect()
-    per = rows.groupBy("model", "review_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "sub_region", "gender"))), ";").alias("design"), F.sum("score").alias("t"))
-    patterns = per.groupBy("model", "design").agg(F.count(F.lit(1)).alias("k"), F.sum("t").alias("t"), F.sum(F.col("t") * F.col("t")).alias("q")).collect()
-    for model in sorted({c.model for c in cells}):
-        own = [c for c in cells if c.model == model]
-        subs = sorted({c.sub_region for c in own} - {reference})
-        if not subs or reference not in {c.sub_region for c in own}:
+    per = rows.groupBy("model", "review_id").agg(F.array_sort(F.collect_list(F.struct("sub_region", "gender", "score"))).alias("rows"))
+    patterns = per.groupBy("model", "rows").agg(F.count(F.lit(1)).alias("k")).collect()
+    for model in sorted({p.model for p in patterns}):
+        cells, designs = {}, {}
+        for p in (p for p in patterns if p.model == model):
+            for r in p.rows:
+                n, s, q = cells.get((r.sub_region, r.gender), (0, 0, 0))
+                cells[r.sub_region, r.gender] = n + p.k, s + p.k * r.score, q + p.k * r.score**2
+            design, t = tuple((r.sub_region, r.gender) for r in p.rows), sum(r.score for r in p.rows)
+            k, total, squares = designs.get(design, (0, 0, 0))
+            designs[design] = k + p.k, total + p.k * t, squares + p.k * t * t
+        found = {s for s, _ in cells}
+        subs = sorted(found - {reference})
+        if not subs or reference not in found:
             continue
         names = ["intercept", *(f"sub_region[{s}]" for s in subs), "gender[female]", *(f"sub_region[{s}]:gender[female]" for s in subs)]
 
@@ -207,10 +215,10 @@ def mixed_model_subregion(merged: DataFrame, region: str = "south_asian", refere
             s, g = np.array([float(sub == y) for y in subs]), float(gender == "female")
             return np.concatenate([[1.0], s, [g], s * g])
 
-        xs = [(x(c.sub_region, c.gender), c) for c in own]
-        groups = [(p.design.count(";") + 1, p.k, sum(x(*d.split("|")) for d in p.design.split(";")), float(p.t), float(p.q)) for p in patterns if p.model == model]
+        xs = [(x(*cell), *sums) for cell, sums in sorted(cells.items())]
+        groups = [(len(d), k, sum(x(*cell) for cell in d), float(t), float(q)) for d, (k, t, q) in sorted(designs.items())]
         try:
-            f = reml(sum(c.n * np.outer(v, v) for v, c in xs), sum(float(c.s) * v for v, c in xs), float(sum(c.q for _, c in xs)), groups)
+            f = reml(sum(n * np.outer(v, v) for v, n, _, _ in xs), sum(float(s) * v for v, _, s, _ in xs), float(sum(q for *_, q in xs)), groups)
         except np.linalg.LinAlgError:
             continue
         out += [(model, sum(g[1] for g in groups), float(f["s2e"]), float(f["s2u"]), t, float(b), float(s), float(b / s) if s else None) for t, b, s in zip(names, f["beta"], f["se"], strict=True)]

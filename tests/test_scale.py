@@ -125,3 +125,15 @@ def test_statistics_of_partial_reviews(spark):
     (c,) = metrics.contrast(m, "region", "western", "south_asian").collect()
     x = [1, 0, -1, 1, 1]
     assert (c.n_clusters, c.mean_a, c.mean_b) == (2, 0.0, 1.0) and c.sd == pytest.approx(np.std(x, ddof=1)) and c.cohens_d == pytest.approx(-1 / np.std(x, ddof=1))
+
+
+def test_one_reading_gives_intervals_and_sd_and_the_sub_region_model(reviews):
+    p = design.prompts(reviews)
+    m = fact.merged_in_place(scoring.mock_runs(p, "prompt_text", 1).withColumn("model", F.lit("m"))).persist()
+    total = m.count()
+    rows, seen = counted(m)
+    diff, sd = inference.difference_with_sd(rows, "region", "western", "south_asian", replicates=20)
+    assert rows_of(diff) == rows_of(inference.bootstrap_difference(m, "region", "western", "south_asian", replicates=20)) and seen.value == total
+    assert diff.select(sd.alias("sd")).first().sd == pytest.approx(metrics.contrast(m, "region", "western", "south_asian").first().sd)
+    rows, seen = counted(m)
+    assert inference.mixed_model_subregion(rows).count() == 10 and seen.value == total
